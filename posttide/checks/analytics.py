@@ -70,10 +70,10 @@ def _trend_sql(unit: str, where: str) -> str:
              coalesce(s.neutral_count, 0) AS neutral_count
       FROM cal c LEFT JOIN s ON s.run_id = c.run_id AND s.period = c.period)
     SELECT run_id, CAST(period AS TIMESTAMP) AS period, total_tweets,
-           round(average_sentiment, 6) AS average_sentiment,
+           round(average_sentiment, 12) AS average_sentiment,
            positive_count, negative_count, neutral_count,
            round(avg(average_sentiment) OVER (PARTITION BY run_id ORDER BY period
-                 ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS rolling_average
+                 ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 12) AS rolling_average
     FROM f"""
 
 
@@ -132,15 +132,15 @@ def _recent_all(spark, sf_dir):
 
 
 _SUMMARY_COLUMNS = """count(*) AS total_tweets,
-       round(coalesce(avg(sentiment_score), 0.0), 6) AS average_sentiment,
-       round(coalesce(avg(sentiment_confidence), 0.0), 6) AS average_confidence,
+       round(coalesce(avg(sentiment_score), 0.0), 12) AS average_sentiment,
+       round(coalesce(avg(sentiment_confidence), 0.0), 12) AS average_confidence,
        min(created_at) AS earliest_tweet, max(created_at) AS latest_tweet,
        round(coalesce(100.0 * count(*) FILTER (WHERE sentiment_label = 'positive')
-             / nullif(count(*), 0), 0.0), 6) AS positive_percentage,
+             / nullif(count(*), 0), 0.0), 12) AS positive_percentage,
        round(coalesce(100.0 * count(*) FILTER (WHERE sentiment_label = 'negative')
-             / nullif(count(*), 0), 0.0), 6) AS negative_percentage,
+             / nullif(count(*), 0), 0.0), 12) AS negative_percentage,
        round(coalesce(100.0 * count(*) FILTER (WHERE sentiment_label = 'neutral')
-             / nullif(count(*), 0), 0.0), 6) AS neutral_percentage"""
+             / nullif(count(*), 0), 0.0), 12) AS neutral_percentage"""
 
 _DOMINANT = """best AS (
   SELECT run_id, sentiment_label AS dominant_sentiment,
@@ -167,13 +167,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id
   ORDER BY tweet_count DESC, average_sentiment DESC, display_name, username) AS rn FROM sources)"""
 
 _SOURCE_COLUMNS = """run_id, display_name, username, tweet_count,
-  round(average_sentiment, 6) AS average_sentiment,
-  round(average_confidence, 6) AS average_confidence,
-  round(average_engagement, 6) AS average_engagement, first_seen, last_seen"""
+  round(average_sentiment, 12) AS average_sentiment,
+  round(average_confidence, 12) AS average_confidence,
+  round(average_engagement, 12) AS average_engagement, first_seen, last_seen"""
 
 _RECENT_COLUMNS = """run_id, tweet_id, created_at, username, display_name, content, url,
-  cleaned_text, sentiment_label, round(sentiment_score, 6) AS sentiment_score,
-  round(sentiment_confidence, 6) AS sentiment_confidence, like_count, retweet_count"""
+  cleaned_text, sentiment_label, round(sentiment_score, 12) AS sentiment_score,
+  round(sentiment_confidence, 12) AS sentiment_confidence, like_count, retweet_count"""
 
 _RECENT = """SELECT *, row_number() OVER (PARTITION BY run_id
   ORDER BY created_at DESC, tweet_id) AS rn FROM posts"""
@@ -201,7 +201,7 @@ SQL = {
     "ts_daily_all_runs": _trend_sql("day", ""),
     "ts_hourly_buckets": f"""{_POSTS}
       SELECT run_id, date_trunc('hour', created_at) AS period, count(*) AS total_tweets,
-             round(avg(sentiment_score), 6) AS average_sentiment,
+             round(avg(sentiment_score), 12) AS average_sentiment,
              count(*) FILTER (WHERE sentiment_label = 'positive') AS positive_count,
              count(*) FILTER (WHERE sentiment_label = 'negative') AS negative_count,
              count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral_count
@@ -209,7 +209,7 @@ SQL = {
     "sentiment_distribution": f"""{_POSTS},
       d AS (SELECT run_id, sentiment_label AS label, count(*) AS count FROM posts GROUP BY 1, 2)
       SELECT run_id, label, count,
-             round(100.0 * count / sum(count) OVER (PARTITION BY run_id), 6) AS percentage
+             round(100.0 * count / sum(count) OVER (PARTITION BY run_id), 12) AS percentage
       FROM d""",
     "summary_stats": f"""{_POSTS}, {_DOMINANT},
       s AS (SELECT run_id, {_SUMMARY_COLUMNS} FROM posts GROUP BY run_id)
@@ -217,8 +217,8 @@ SQL = {
     "summary_stats_one_run": _summary_one_sql(_SERIES_RUN),
     "summary_stats_empty_run": _summary_one_sql(99),
     "summary_base_row": f"""{_POSTS}
-      SELECT count(*) AS total_tweets, round(avg(sentiment_score), 6) AS average_sentiment,
-             round(avg(sentiment_confidence), 6) AS average_confidence,
+      SELECT count(*) AS total_tweets, round(avg(sentiment_score), 12) AS average_sentiment,
+             round(avg(sentiment_confidence), 12) AS average_confidence,
              min(created_at) AS earliest_tweet, max(created_at) AS latest_tweet
       FROM posts WHERE run_id = {_SERIES_RUN}""",
     "source_breakdown_topk": f"""{_POSTS}, {_SOURCES}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
+def finish(df: DataFrame, digits: int = 12) -> DataFrame:
     """Round doubles and drop the zone of timestamps, so both engines agree on types."""
     changed = {}
     for field in df.schema.fields:

@@ -5,64 +5,129 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+STRING, BIGINT, DOUBLE = T.StringType(), T.LongType(), T.DoubleType()
+BOOLEAN, TIMESTAMP = T.BooleanType(), T.TimestampType()
+STRINGS = T.ArrayType(STRING)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 RAW_POST = _struct(
-    "tweet_id string, created_at timestamp, username string, display_name string, "
-    "content string, url string, like_count bigint, retweet_count bigint, lang string, "
-    "raw_payload string"
+    tweet_id=STRING,
+    created_at=TIMESTAMP,
+    username=STRING,
+    display_name=STRING,
+    content=STRING,
+    url=STRING,
+    like_count=BIGINT,
+    retweet_count=BIGINT,
+    lang=STRING,
+    raw_payload=STRING,
 )
 
 TWEETS = _struct(
-    "tweet_id string, username string, display_name string, created_at timestamp, "
-    "content string, url string, cleaned_text string, tokens array<string>, "
-    "sentiment_label string, sentiment_score double, sentiment_confidence double, "
-    "like_count bigint, retweet_count bigint, lang string, raw_payload string, "
-    "updated_at timestamp"
+    tweet_id=STRING,
+    username=STRING,
+    display_name=STRING,
+    created_at=TIMESTAMP,
+    content=STRING,
+    url=STRING,
+    cleaned_text=STRING,
+    tokens=STRINGS,
+    sentiment_label=STRING,
+    sentiment_score=DOUBLE,
+    sentiment_confidence=DOUBLE,
+    like_count=BIGINT,
+    retweet_count=BIGINT,
+    lang=STRING,
+    raw_payload=STRING,
+    updated_at=TIMESTAMP,
 )
 
-LINKS = _struct("run_id bigint, tweet_id string, ingested_at timestamp")
+LINKS = _struct(run_id=BIGINT, tweet_id=STRING, ingested_at=TIMESTAMP)
 
 RUNS = _struct(
-    "id bigint, source_query string, model_name string, status string, "
-    "error_message string, total_collected bigint, total_stored bigint, "
-    "requested_backend string, resolved_backend string, served_backend string, "
-    "fallback_used boolean, raw_export_path string, processed_export_path string, "
-    "started_at timestamp, completed_at timestamp"
+    id=BIGINT,
+    source_query=STRING,
+    model_name=STRING,
+    status=STRING,
+    error_message=STRING,
+    total_collected=BIGINT,
+    total_stored=BIGINT,
+    requested_backend=STRING,
+    resolved_backend=STRING,
+    served_backend=STRING,
+    fallback_used=BOOLEAN,
+    raw_export_path=STRING,
+    processed_export_path=STRING,
+    started_at=TIMESTAMP,
+    completed_at=TIMESTAMP,
 )
 
 # One row per status change of a run; the state of a run is folded from them.
 RUN_EVENTS = _struct(
-    "run_id bigint, event string, event_seq bigint, event_at timestamp, "
-    "source_query string, model_name string, requested_backend string, "
-    "resolved_backend string, served_backend string, fallback_used boolean, "
-    "total_collected bigint, total_stored bigint, raw_export_path string, "
-    "processed_export_path string, error_message string"
+    run_id=BIGINT,
+    event=STRING,
+    event_seq=BIGINT,
+    event_at=TIMESTAMP,
+    source_query=STRING,
+    model_name=STRING,
+    requested_backend=STRING,
+    resolved_backend=STRING,
+    served_backend=STRING,
+    fallback_used=BOOLEAN,
+    total_collected=BIGINT,
+    total_stored=BIGINT,
+    raw_export_path=STRING,
+    processed_export_path=STRING,
+    error_message=STRING,
 )
 
 API_PAGE = _struct(
-    "data array<struct<id string, text string, created_at string, lang string, "
-    "author_id string, public_metrics struct<like_count bigint, retweet_count bigint>>>, "
-    "includes struct<users array<struct<id string, username string, name string>>>, "
-    "meta struct<next_token string>, "
-    "errors array<struct<detail string, message string>>"
+    data=T.ArrayType(
+        _struct(
+            id=STRING,
+            text=STRING,
+            created_at=STRING,
+            lang=STRING,
+            author_id=STRING,
+            public_metrics=_struct(like_count=BIGINT, retweet_count=BIGINT),
+        )
+    ),
+    includes=_struct(users=T.ArrayType(_struct(id=STRING, username=STRING, name=STRING))),
+    meta=_struct(next_token=STRING),
+    errors=T.ArrayType(_struct(detail=STRING, message=STRING)),
 )
 
 SCRAPED_POST = _struct(
-    "id string, date string, rawContent string, renderedContent string, url string, "
-    "likeCount bigint, retweetCount bigint, lang string, "
-    "user struct<username string, displayname string>"
+    id=STRING,
+    date=STRING,
+    rawContent=STRING,
+    renderedContent=STRING,
+    url=STRING,
+    likeCount=BIGINT,
+    retweetCount=BIGINT,
+    lang=STRING,
+    user=_struct(username=STRING, displayname=STRING),
 )
 
 FEED_ITEM = _struct(
-    "title string, link string, guid string, pubDate string, "
-    "source struct<_VALUE string, _url string>, description string"
+    title=STRING,
+    link=STRING,
+    guid=STRING,
+    pubDate=STRING,
+    source=_struct(_VALUE=STRING, _url=STRING),
+    description=STRING,
 )
 
 TRAINING_FRAME = _struct(
-    "text string, label string, sample_weight double, source_path string, source_kind string"
+    text=STRING,
+    label=STRING,
+    sample_weight=DOUBLE,
+    source_path=STRING,
+    source_kind=STRING,
 )
 
 # Columns later versions added to stored tables, with their defaults.

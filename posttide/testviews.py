@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from posttide.sources.tables import read_table, spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts, spread for CPU-bound work."""
+    return spread(read_table(spark, f"{sf_dir}/{name}.parquet", list(columns)))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
