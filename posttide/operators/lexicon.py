@@ -63,124 +63,165 @@ def _pick(c: Column, values: dict[str, float], default: Column) -> Column:
 
 
 def _word_rows(texts: DataFrame, keys: list[str], text: str, rules: Rules) -> DataFrame:
-    """One row per word with its neighbours, taken from the array in the same row."""
+    """One row per word with its neighbours and the word count of its text.
+
+    The neighbours come from shifted copies of the word array, so a row carries
+    six words and not the array; the work stays linear in the text.
+    """
     split = texts.select(*keys, whitespace_tokens(F.col(text)).alias("_words"))
-    split = split.withColumn(
-        "_contrast", F.array_position("_words", F.lit(rules.contrast)).cast("int")
-    )
-    rows = split.select(
-        *keys, "_words", "_contrast", F.posexplode_outer("_words").alias("_pos", "token")
-    )
+    none = F.array(*[F.lit(None).cast("string")] * 3)
+    n = F.size("_words")
 
-    def neighbour(offset: int) -> Column:
-        return F.get("_words", F.col("_pos") + F.lit(offset))
+    def shifted(offset: int) -> Column:
+        return F.slice("_padded", F.lit(4 + offset), n)
 
-    return rows.select(
+    zipped = F.arrays_zip(
+        F.col("_words").alias("token"),
+        *[shifted(-k).alias(f"p{k}") for k in (1, 2, 3)],
+        *[shifted(k).alias(f"n{k}") for k in (1, 2)],
+    )
+    split = split.withColumn("_padded", F.concat(none, "_words", none))
+    # Both arrays are used up below the generator: only keys and words leave it.
+    ready = split.select(
         *keys,
-        "_pos",
-        "_contrast",
-        "token",
-        *[neighbour(-k).alias(f"p{k}") for k in (1, 2, 3)],
-        *[neighbour(k).alias(f"n{k}") for k in (1, 2)],
+        n.alias("_n"),
+        F.array_position("_words", F.lit(rules.contrast)).cast("int").alias("_contrast"),
+        zipped.alias("_zipped"),
+    )
+    words = ready.select(
+        *keys, "_n", "_contrast", F.posexplode_outer("_zipped").alias("_pos", "_word")
     )
+    return words.select(*keys, "_n", "_contrast", "_pos", "_word.*")
+
 
+def _yes(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
 
-def _with_valences(rows: DataFrame, lexicon: DataFrame, rules: Rules) -> DataFrame:
-    """Valence of each word, and whether its neighbours are lexicon words.
 
-    Neighbours matter for lexicon words only; elsewhere their join key is null,
-    which never matches.
+def _intensifier(c: Column) -> Column:
+    return _yes(c.isin("so", "this"))
+
+
+def _lexicon_words(rows: DataFrame, lexicon: DataFrame, rules: Rules) -> DataFrame:
+    """Rows of lexicon words with their ``valence``, and the first row of every text.
+
+    The first row keeps texts without lexicon words; all others end here.
     """
-    lexicon = lookup_side(lexicon.select("token", "valence"))
     modifier = F.col("token").isin(*rules.boosters) | (
-        (F.col("token") == "kind") & F.coalesce(F.col("n1") == "of", F.lit(False))
+        (F.col("token") == "kind") & _yes(F.col("n1") == "of")
     )
-    rows = rows.join(lexicon, "token", "left").withColumn(
+    valued = rows.join(lexicon, "token", "left").withColumn(
         "valence", F.when(~modifier, F.col("valence"))
     )
-    for name, needed in (
-        ("p1", F.lit(True)),
-        ("p2", F.lit(True)),
-        ("p3", F.lit(True)),
-        ("n1", F.col("token") == "no"),
-    ):
-        listed = lexicon.select(
-            F.col("token").alias(f"_key_{name}"), F.lit(True).alias(f"_in_{name}")
-        )
-        rows = rows.withColumn(
-            f"_probe_{name}", F.when(F.col("valence").isNotNull() & needed, F.col(name))
-        ).join(listed, F.col(f"_probe_{name}") == F.col(f"_key_{name}"), "left")
-        rows = rows.withColumn(f"in_{name}", F.col(f"_in_{name}").isNotNull()).drop(
-            f"_probe_{name}", f"_key_{name}", f"_in_{name}"
-        )
-    return rows
+    return valued.filter(
+        F.col("valence").isNotNull() | F.coalesce(F.col("_pos") == 0, F.lit(True))
+    )
 
 
-def _word_score(rows: DataFrame, rules: Rules) -> DataFrame:
-    """``_score`` of every word after boosters, negations and idioms."""
+def _listed(rows: DataFrame, lexicon: DataFrame, name: str, needed: Column) -> DataFrame:
+    """Add ``in_<name>``: the neighbour is a lexicon word. Looked up only where needed;
+    elsewhere the join key is null, which never matches."""
+    words = lexicon.select(F.col("token").alias("_key"), F.lit(True).alias(f"in_{name}"))
+    probe = F.when(F.col("valence").isNotNull() & needed, F.col(name))
+    return rows.join(words, probe == F.col("_key"), "left").drop("_key")
+
+
+def _phrases(*groups: tuple[str, ...]) -> Column:
+    """Array of the phrases made of neighbouring words; null where one is missing."""
+    return F.array(
+        *[
+            F.concat(*[part for name in names for part in (F.lit(" "), F.col(name))][1:])
+            for names in groups
+        ]
+    )
+
+
+def _word_score(rows: DataFrame, lexicon: DataFrame, rules: Rules) -> DataFrame:
+    """``_score`` of every kept word after boosters, negations and idioms."""
     p1, p2, p3, token = (F.col(c) for c in ("p1", "p2", "p3", "token"))
     v = F.col("_v")
 
-    def yes(c: Column) -> Column:
-        return F.coalesce(c, F.lit(False))
+    # Modifiers that are lexicon words themselves do not modify. Only the modifier
+    # lists, which are short settings, are looked up here.
+    modifiers = [*rules.boosters, *rules.negations, "least"]
+    valued = {
+        row["token"]
+        for row in lexicon.filter(F.col("token").isin(*modifiers)).select("token").collect()
+    }
+    boosters = {w: b for w, b in rules.boosters.items() if w not in valued}
+    negations = [w for w in rules.negations if w not in valued]
+
+    phrase_words = {w for phrase in rules.idioms for w in phrase.split()}
+    phrase_words |= {w for phrase in rules.booster_pairs for w in phrase.split()}
+    in_phrase = F.lit(False)
+    if phrase_words:
+        in_phrase = _yes(token.isin(*phrase_words)) | _yes(p2.isin(*phrase_words))
+    rows = _listed(rows, lexicon, "p3", _intensifier(p1) | in_phrase)
+    rows = _listed(rows, lexicon, "n1", token == "no")
 
     def negated(c: Column) -> Column:
-        return yes(c.isin(*rules.negations))
-
-    def so(c: Column) -> Column:
-        return yes(c.isin("so", "this"))
+        return _yes(c.isin(*negations))
 
     one, never, negate = F.lit(1.0), F.lit(NEVER_SO), F.lit(NEGATE)
+    p3_free = p3.isNotNull() & F.col("in_p3").isNull()
     factors = (
         F.when(negated(p1), negate).otherwise(one),
-        F.when(yes(p2 == "never") & so(p1), never)
-        .when(yes(p2 == "without") & yes(p1 == "doubt"), one)
+        F.when(negated(p2) & (p2 == "never") & _intensifier(p1), never)
+        .when(negated(p2) & (p2 == "without") & _yes(p1 == "doubt"), one)
         .when(negated(p2), negate)
         .otherwise(one),
-        F.when((yes(p3 == "never") & so(p2)) | so(p1), never)
-        .when(yes(p3 == "without") & (yes(p2 == "doubt") | yes(p1 == "doubt")), one)
+        F.when(
+            p3_free & ((_yes(p3 == "never") & _intensifier(p2)) | _intensifier(p1)), never
+        )
+        .when(negated(p3) & (p3 == "without") & _yes(p2.eqNullSafe("doubt") | (p1 == "doubt")), one)
         .when(negated(p3), negate)
         .otherwise(one),
     )
-    after_no = yes(p1 == "no") | yes(p2 == "no") | (yes(p3 == "no") & yes(p1.isin("or", "nor")))
+    after_no = _yes(p1 == "no") | _yes(p2 == "no") | (_yes(p3 == "no") & _yes(p1.isin("or", "nor")))
     rows = rows.withColumn(
         "_v",
         F.when(after_no, F.col("valence") * negate)
-        .when((token == "no") & F.col("in_n1"), F.lit(0.0))
+        .when((token == "no") & F.col("in_n1").isNotNull(), F.lit(0.0))
         .otherwise(F.col("valence")),
     )
     # Each step is a projection of its own, so that an earlier value is computed once.
-    for k, (before, factor) in enumerate(zip((p1, p2, p3), factors), start=1):
-        boost = _pick(before, rules.boosters, F.lit(0.0)) * F.lit(BOOST_BY_DISTANCE[k - 1])
-        boosted = (v + F.when(v < 0, -boost).otherwise(boost)) * factor
-        applies = before.isNotNull() & ~F.col(f"in_p{k}")
-        rows = rows.withColumn("_v", F.when(applies, boosted).otherwise(v))
-    rows = rows.withColumn("_v", F.when(p3.isNotNull() & ~F.col("in_p3"), _idiom(rules)).otherwise(v))
-    least = yes(p1 == "least") & ~F.col("in_p1") & ~yes(p2.isin("at", "very"))
-    return rows.withColumn(
-        "_score",
-        F.when(F.col("valence").isNull(), F.lit(0.0)).otherwise(v * F.when(least, negate).otherwise(one)),
-    )
+    for before, factor, damping in zip((p1, p2, p3), factors, BOOST_BY_DISTANCE):
+        boost = _pick(before, boosters, F.lit(0.0)) * F.lit(damping)
+        rows = rows.withColumn("_v", (v + F.when(v < 0, -boost).otherwise(boost)) * factor)
+    if phrase_words:
+        rows = rows.withColumn("_v", F.when(p3_free & in_phrase, _idiom(rules)).otherwise(v))
+    least = _yes(p1 == "least") & ~_yes(p2.isin("at", "very"))
+    if "least" in valued:
+        least = F.lit(False)
+    return rows.withColumn("_score", v * F.when(least, negate).otherwise(one))
 
 
 def _idiom(rules: Rules) -> Column:
-    """``_v`` replaced by an idiom the word is part of, plus two-word boosters."""
+    """``_v`` replaced by an idiom the word is part of, plus two-word boosters.
 
-    def phrase(*names: str) -> Column:
-        # concat gives null when a neighbour is missing, and null matches no phrase.
-        return F.concat(*[p for n in names for p in (F.lit(" "), F.col(n))][1:])
+    Idioms that look ahead win over those that end with the word.
+    """
+    idioms = F.create_map(*[F.lit(x) for kv in rules.idioms.items() for x in kv])
+    pairs = F.create_map(*[F.lit(x) for kv in rules.booster_pairs.items() for x in kv])
 
-    result = F.col("_v")
-    back = [
-        ("p1", "token"), ("p2", "p1", "token"), ("p2", "p1"), ("p3", "p2", "p1"), ("p3", "p2"),
-    ]
-    for names in reversed(back):
-        result = _pick(phrase(*names), rules.idioms, result)
-    for names in (("token", "n1"), ("token", "n1", "n2")):
-        result = _pick(phrase(*names), rules.idioms, result)
-    for names in (("p3", "p2", "p1"), ("p3", "p2"), ("p2", "p1")):
-        result = result + _pick(phrase(*names), rules.booster_pairs, F.lit(0.0))
-    return result
+    def found(table: Column, *groups: tuple[str, ...]) -> Column:
+        values = F.transform(
+            F.array_compact(_phrases(*groups)), lambda phrase: F.try_element_at(table, phrase)
+        )
+        return F.array_compact(values)
+
+    value = F.col("_v")
+    if rules.idioms:
+        hits = found(
+            idioms,
+            ("token", "n1", "n2"), ("token", "n1"),
+            ("p1", "token"), ("p2", "p1", "token"), ("p2", "p1"), ("p3", "p2", "p1"), ("p3", "p2"),
+        )
+        value = F.coalesce(F.get(hits, F.lit(0)), value)
+    if rules.booster_pairs:
+        extra = found(pairs, ("p3", "p2", "p1"), ("p3", "p2"), ("p2", "p1"))
+        value = value + F.aggregate(extra, F.lit(0.0), lambda total, x: total + x)
+    return value
 
 
 def score_texts(
@@ -196,9 +237,8 @@ def score_texts(
     partial aggregate leaves one short row per text for the shuffle.
     """
     rules = rules or Rules()
-    rows = _word_score(
-        _with_valences(_word_rows(texts, keys, text, rules), lexicon, rules), rules
-    )
+    lexicon = lookup_side(lexicon.select("token", "valence"))
+    words = _lexicon_words(_word_rows(texts, keys, text, rules), lexicon, rules)
     place = F.col("_pos") + 1
     contrast = (
         F.when(F.col("_contrast") == 0, F.lit(1.0))
@@ -206,14 +246,16 @@ def score_texts(
         .when(place > F.col("_contrast"), F.lit(AFTER_CONTRAST))
         .otherwise(F.lit(1.0))
     )
-    rows = rows.select(*keys, "token", (F.col("_score") * F.coalesce(contrast, F.lit(1.0))).alias("_s"))
+    scored = _word_score(words, lexicon, rules).select(
+        *keys, "_n", (F.col("_score") * contrast).alias("_s")
+    )
     s = F.col("_s")
-    sums = rows.groupBy(*keys).agg(
-        F.count("token").alias("_n"),
-        F.sum(s).alias("_sum"),
+    sums = scored.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
+        F.coalesce(F.sum(s), F.lit(0.0)).alias("_sum"),
         F.sum(F.when(s > 0, s + 1.0).otherwise(0.0)).alias("_pos_sum"),
         F.sum(F.when(s < 0, 1.0 - s).otherwise(0.0)).alias("_neg_sum"),
-        F.count(F.when(s == 0, F.col("token"))).alias("_neu_sum"),
+        (F.max("_n") - F.count_if(s != 0)).alias("_neu_sum"),
     )
     return _shares(sums, keys)
 
@@ -225,7 +267,8 @@ def _shares(sums: DataFrame, keys: list[str]) -> DataFrame:
     def share(name: str) -> Column:
         return round_half_up(F.try_divide(F.col(name).cast("double"), total), 3)
 
-    empty = F.col("_n") == 0
+    # An array that is null or empty has size 0 or less.
+    empty = F.col("_n") <= 0
     zero, one = F.lit(0.0), F.lit(1.0)
     scored = sums.select(
         *keys,
