@@ -43,10 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def lookup_side(
+    df: DataFrame, rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS
+) -> DataFrame:
     """Hint a broadcast when ``df`` is counted to be small; else leave a shuffle join.
 
-    The count stops after ``max_rows + 1`` rows.
+    Pass ``rows`` when the count is known; otherwise it is taken here, stopping
+    after ``max_rows + 1`` rows.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    if rows is None:
+        rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
