@@ -44,20 +44,21 @@ def char_grams(word: Column) -> Column:
     """All 3- to 5-grams of a word padded with one space on each side."""
     padded = F.concat(F.lit(" "), word, F.lit(" "))
     length = F.length(word) + 2
-    return F.flatten(
-        F.array(
-            *[
-                F.when(
-                    length >= n,
-                    F.transform(
-                        F.sequence(F.lit(1), length - (n - 1)),
-                        lambda i, n=n: F.substring(padded, i, F.lit(n)),
-                    ),
-                ).otherwise(F.array().cast("array<string>"))
-                for n in CHAR_SIZES
-            ]
-        )
-    )
+    none = F.array().cast("array<string>")
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), length - (n - 1))
+        cut = F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(length >= n, cut).otherwise(none)
+
+    return F.concat(*[grams(n) for n in CHAR_SIZES])
+
+
+def _by_text(texts: DataFrame, key: str) -> DataFrame:
+    """Spread texts by key. The number of partitions is given, because the exploded
+    rows are many times larger than the texts that a size estimate would see."""
+    configured = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.repartition(max(configured, texts.rdd.getNumPartitions()), key)
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -67,7 +68,7 @@ def term_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     texts without terms. Character grams are counted per distinct word of a text
     first, so repeated words cost once.
     """
-    placed = texts.select(*keys, text).repartition(keys[0])
+    placed = _by_text(texts.select(*keys, text), keys[0])
     marker = F.array(F.lit(None).cast("string"))
     words = placed.select(*keys, word_terms(F.col(text)).alias("_words"))
     terms = words.select(
