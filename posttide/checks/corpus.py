@@ -13,8 +13,8 @@ from posttide.operators import corpus
 
 def labeled(spark, sf_dir, source: str) -> DataFrame:
     """Labeled documents as a manual or a processed table."""
-    docs = v.table(spark, sf_dir, "documents")
-    rows = v.table(spark, sf_dir, "labels").join(docs, "doc_id")
+    docs = v.texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    rows = docs.join(v.table(spark, sf_dir, "labels"), "doc_id")
     label = (
         F.when((F.col("toxic") == 1) & (F.col("quality") == 0), "mixed")
         .when(F.col("toxic") == 1, "neg")

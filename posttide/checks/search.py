@@ -27,7 +27,8 @@ _POST_SQL = """p AS (
 
 def _posts(spark, sf_dir):
     hour = F.expr("make_dt_interval(0, CAST(doc_id % 720 AS INT))")
-    return v.table(spark, sf_dir, "documents").select(
+    docs = v.texts(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    return docs.select(
         F.col("doc_id").cast("string").alias("tweet_id"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + hour).alias("created_at"),
         F.col("source").alias("username"),

@@ -503,21 +503,14 @@ def cross_validate(
 
 
 def _keyed(corpus: DataFrame) -> DataFrame:
-    """Usable rows with a ``doc_key``; equal rows are told apart by a running number."""
+    """Usable rows with a ``doc_key``; the caller writes them, which fixes the keys."""
     weight = F.col("sample_weight").try_cast("double")
-    usable = corpus.dropna(subset=["text", "label", "sample_weight"]).select(
+    return corpus.dropna(subset=["text", "label", "sample_weight"]).select(
+        F.monotonically_increasing_id().alias("doc_key"),
         F.col("text").cast("string"),
         F.col("label").cast("string"),
         F.coalesce(F.nanvl(weight, F.lit(None).cast("double")), F.lit(1.0)).alias("weight"),
     )
-    copies = usable.groupBy("text", "label", "weight").agg(F.count(F.lit(1)).alias("_copies"))
-    key = F.concat_ws(
-        "-", F.sha1("text"), "label", F.xxhash64("weight").cast("string"), "_copy"
-    )
-    numbered = copies.select(
-        "text", "label", "weight", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")
-    )
-    return numbered.select(key.alias("doc_key"), "text", "label", "weight")
 
 
 def train(corpus: DataFrame, extra_metadata: dict | None = None) -> SentimentClassifier:

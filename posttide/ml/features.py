@@ -55,10 +55,9 @@ def char_grams(word: Column) -> Column:
 
 
 def _by_text(texts: DataFrame, key: str) -> DataFrame:
-    """Spread texts by key. The number of partitions is given, because the exploded
-    rows are many times larger than the texts that a size estimate would see."""
-    configured = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(max(configured, texts.rdd.getNumPartitions()), key)
+    """Spread texts by key over all shuffle partitions. The number is given, because
+    the exploded rows are many times larger than the texts an estimate would see."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from posttide.functions.text import WORD
 from posttide.params import FALLBACK_SOURCE, SearchParams
+from posttide.session import cut_lineage
 
 
 def _utc(day: date) -> Column:
@@ -60,9 +61,8 @@ def in_recent_window(created_at: Column, params: SearchParams, now: datetime) ->
     return inside
 
 
-def matches_topic(text: Column, variant: str) -> Column:
-    """``a b`` needs every word, ``a OR b`` any part; case does not matter."""
-    folded = F.lower(text)
+def matches_topic(folded: Column, variant: str) -> Column:
+    """``a b`` needs every word, ``a OR b`` any part, of lower-cased text."""
     parts = variant.split(" OR ")
     found = F.lit(False)
     for part in parts:
@@ -73,11 +73,11 @@ def matches_topic(text: Column, variant: str) -> Column:
     return found
 
 
-def _matching_variants(text: Column, params: SearchParams) -> Column:
-    """Array of ``(query_idx, query)`` the text matches, in fan-out order."""
+def _matching_variants(folded: Column, params: SearchParams) -> Column:
+    """Array of ``(query_idx, query)`` the lower-cased text matches, in fan-out order."""
     hits = [
         F.when(
-            matches_topic(text, variant),
+            matches_topic(folded, variant),
             F.struct(F.lit(i).alias("query_idx"), F.lit(variant).alias("query")),
         )
         for i, variant in enumerate(params.topic_variants())
@@ -90,9 +90,9 @@ def topic_fanout(posts: DataFrame, params: SearchParams, text: str = "content")
 
     The variants are a short list of settings, so they are tested inside the row.
     """
-    return posts.withColumn("_hit", F.explode(_matching_variants(F.col(text), params))).select(
-        *posts.columns, "_hit.query_idx", "_hit.query"
-    )
+    folded = posts.withColumn("_folded", F.lower(text))
+    hits = folded.withColumn("_hit", F.explode(_matching_variants(F.col("_folded"), params)))
+    return hits.select(*posts.columns, "_hit.query_idx", "_hit.query")
 
 
 def first_seen(
@@ -107,9 +107,10 @@ def first_seen(
     first matching variant, so the fan-out itself is never materialized; copies
     of an id are cut to one per task before the shuffle.
     """
-    hits = _matching_variants(F.col(text), params)
+    hits = _matching_variants(F.col("_folded"), params)
     met = (
         posts.filter(in_date_window(F.col("created_at"), params.start_date, params.end_date))
+        .withColumn("_folded", F.lower(text))
         .withColumn("_hit", F.get(hits, F.lit(0)))
         .filter(F.col("_hit").isNotNull())
         .select(*posts.columns, "_hit.query_idx", "_hit.query")
@@ -120,12 +121,36 @@ def first_seen(
         .filter(F.col("_rank") == 1)
         .drop("_rank")
     )
-    return kept.orderBy(*order, F.asc("tweet_id")).limit(params.max_results)
+    return cap_rows(kept, ["query_idx", item, "tweet_id"], params.max_results)
+
+
+# Up to this cap the rows fit one task, and a plain top-k is the cheapest plan.
+_SMALL_CAP = 100_000
 
 
 def cap_rows(posts: DataFrame, order: list[str], max_results: int) -> DataFrame:
-    """The first ``max_results`` rows in arrival order."""
-    return posts.orderBy(*order).limit(max_results)
+    """The first ``max_results`` rows under ``order``, which must be a total order.
+
+    A large cap is cut per range partition: whole ranges below the cut pass, and
+    only the range it falls into is ranked.
+    """
+    if max_results <= _SMALL_CAP:
+        return posts.orderBy(*order).limit(max_results)
+    if posts.count() <= max_results:
+        return posts
+    ranges = posts.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    placed = cut_lineage(ranges)
+    passed, cut = 0, None
+    for row in placed.groupBy("_range").count().orderBy("_range").collect():
+        cut = row["_range"]
+        if passed + row["count"] > max_results:
+            break
+        passed += row["count"]
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    below = placed.filter(F.col("_range") < cut)
+    edge = placed.filter(F.col("_range") == cut).withColumn("_rank", rank)
+    edge = edge.filter(F.col("_rank") <= max_results - passed).drop("_rank")
+    return below.unionByName(edge).drop("_range")
 
 
 def _served(df: DataFrame, requested: str, resolved: str, served: str) -> DataFrame:

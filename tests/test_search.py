@@ -142,3 +142,11 @@ def test_first_seen_agrees_with_materialized_fanout(spark):
             expected.append((row["tweet_id"], row["item_idx"], row["query"]))
     got = search.first_seen(posts, params).orderBy("query_idx", "item_idx").collect()
     assert [(r["tweet_id"], r["item_idx"], r["query"]) for r in got] == expected[:4]
+
+
+def test_large_cap_equals_plain_limit(spark, monkeypatch):
+    monkeypatch.setattr(search, "_SMALL_CAP", 10)
+    rows = spark.range(1000).select((F.col("id") * 37 % 101).alias("k"), "id").repartition(5)
+    for cap in (11, 500, 999, 1000, 5000):
+        got = {tuple(r) for r in search.cap_rows(rows, ["k", "id"], cap).collect()}
+        assert got == {tuple(r) for r in rows.orderBy("k", "id").limit(cap).collect()}
