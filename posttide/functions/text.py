@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import string
 import unicodedata
 
@@ -40,9 +41,14 @@ def collapse_ws(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, f"{WS}+", " "))
 
 
+_WS_LIST = "".join(
+    char for char in map(chr, range(0x3001)) if re.fullmatch(r"\s", char)
+)
+
+
 def strip_ws(c: Column) -> Column:
-    """Strip white space at both ends, keeping inner runs."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Strip white space at both ends, keeping inner runs; only the ends are read."""
+    return F.btrim(c, F.lit(_WS_LIST))
 
 
 def strip_urls(c: Column) -> Column:

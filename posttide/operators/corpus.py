@@ -71,8 +71,9 @@ def merge_frames(frames: list[DataFrame]) -> DataFrame:
     go to the larger support, then to the label first in the alphabet. The text
     shown is the first of the longest spellings.
     """
-    keyed = union_frames(frames).withColumn("_key", text_key(F.col("text")))
-    keyed = keyed.filter(F.col("_key") != "")
+    # The key is blank exactly when the text is.
+    worded = union_frames(frames).filter(strip_ws(F.col("text")) != "")
+    keyed = worded.withColumn("_key", text_key(F.col("text")))
 
     def votes(label: str) -> list[Column]:
         mine = F.col("label") == label
