@@ -40,18 +40,30 @@ def char_words(text: Column) -> Column:
     return F.coalesce(pieces, F.array().cast("array<string>"))
 
 
-def char_grams(word: Column) -> Column:
-    """All 3- to 5-grams of a word padded with one space on each side."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    length = F.length(word) + 2
-    none = F.array().cast("array<string>")
+def with_grams(words: DataFrame, word: str, name: str) -> DataFrame:
+    """One row per 3- to 5-gram of ``word``, padded with one space on each side.
 
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), length - (n - 1))
-        cut = F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
-        return F.when(length >= n, cut).otherwise(none)
-
-    return F.concat(*[grams(n) for n in CHAR_SIZES])
+    Two generators over plain expressions: start positions, then the sizes that fit.
+    """
+    rest = [c for c in words.columns if c != word]
+    smallest = min(CHAR_SIZES)
+    padded = words.select(
+        *rest,
+        F.concat(F.lit(" "), word, F.lit(" ")).alias("_padded"),
+        (F.length(word) + 2).alias("_length"),
+    )
+    placed = padded.select(
+        *rest,
+        "_padded",
+        "_length",
+        F.explode(F.sequence(F.lit(1), F.col("_length") - (smallest - 1))).alias("_at"),
+    )
+    sizes = [
+        F.when(F.col("_at") + (n - 1) <= F.col("_length"), F.substring("_padded", F.col("_at"), F.lit(n)))
+        for n in CHAR_SIZES
+    ]
+    grams = placed.select(*rest, F.explode(F.array(*sizes)).alias(name))
+    return grams.filter(F.col(name).isNotNull())
 
 
 def _by_text(texts: DataFrame, key: str) -> DataFrame:
@@ -76,8 +88,7 @@ def term_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     by_word = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     pieces = placed.select(*keys, F.explode(char_words(F.col(text))).alias("_word"))
     counted = pieces.groupBy(*keys, "_word").agg(F.count(F.lit(1)).alias("_n"))
-    grams = counted.select(*keys, "_n", F.explode(char_grams(F.col("_word"))).alias("term"))
-    by_gram = grams.groupBy(*keys, "term").agg(F.sum("_n").alias("tf"))
+    by_gram = with_grams(counted, "_word", "term").groupBy(*keys, "term").agg(F.sum("_n").alias("tf"))
 
     def block(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(*keys, F.lit(name).alias("block"), "term", "tf")
