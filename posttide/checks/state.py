@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from posttide import testviews as v
 from posttide.checks.analytics import T_LINKS, T_TWEETS
 from posttide.checks.shape import finish
+from posttide.functions import text as t
 from posttide.operators import state
 from posttide.sinks import exports
 
@@ -160,7 +161,31 @@ def _export_rows(spark, sf_dir):
     return finish(exports.processed_rows(tweets))
 
 
+def _raw_export(spark, sf_dir):
+    """Payloads of two shapes, as one table."""
+    rows = v.table(spark, sf_dir, "events")
+    sold = F.to_json(F.struct("event_id", "user_id"))
+    other = F.to_json(F.struct("event_id", F.col("event_type").alias("kind")))
+    payload = F.when(F.col("event_type") == "purchase", sold).otherwise(other)
+    return exports.payload_rows(rows.select(payload.alias("raw_payload")))
+
+
+def _payload_union(spark, sf_dir):
+    rows = v.table(spark, sf_dir, "events")
+    sold = rows.filter("event_type = 'purchase'").select("event_id", "user_id")
+    other = rows.filter("event_type <> 'purchase'").select("event_type", "event_id")
+    return exports.union_payloads([sold, other])
+
+
+def _utc_text(spark, sf_dir):
+    rows = v.events(spark, sf_dir)
+    return rows.select("event_id", t.utc_text(F.col("ts")).alias("created_at"))
+
+
 QUERIES = {
+    "raw_export_rows": _raw_export,
+    "payload_union": _payload_union,
+    "utc_text": _utc_text,
     "upsert_latest": _upsert,
     "link_insert_ignore": _link_ignore,
     "run_log": _run_table,
@@ -198,6 +223,14 @@ _KEYED = """k AS (
          event_id AS ordinal FROM events)"""
 
 SQL = {
+    "raw_export_rows": """SELECT CAST(event_id AS VARCHAR) AS event_id,
+        CASE WHEN event_type = 'purchase' THEN CAST(user_id AS VARCHAR) END AS user_id,
+        CASE WHEN event_type <> 'purchase' THEN event_type END AS kind FROM events""",
+    "payload_union": """SELECT event_id,
+        CASE WHEN event_type = 'purchase' THEN user_id END AS user_id,
+        CASE WHEN event_type <> 'purchase' THEN event_type END AS event_type FROM events""",
+    "utc_text": """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at
+      FROM events""",
     "upsert_latest": f"""WITH {_KEYED},
       both_batches AS (
         SELECT *, 1 AS batch FROM k WHERE label IN ('view', 'click', 'error')

@@ -196,6 +196,11 @@ def parse_rfc822(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+def utc_text(c: Column) -> Column:
+    """A timestamp as text, to the second; the session's time zone is UTC."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
 def _accent_tables() -> tuple[str, str]:
     """``translate`` arguments that drop accents, from the Unicode decompositions."""
     plain_from, plain_to, dropped = [], [], []
