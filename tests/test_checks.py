@@ -56,3 +56,17 @@ def test_series_invariants(spark):
         assert sorted(map(str, queries["training_corpus"](spark, SF_DIR).collect())) == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("name", ["upsert_latest", "lexicon_score", "cascade_delete"])
+def test_shuffle_joins_give_the_same(spark, con, name, monkeypatch):
+    """Beyond the broadcast bound the same rows come out of shuffle joins."""
+    from posttide import session
+
+    monkeypatch.setattr(session.lookup_side, "__defaults__", (None, -1))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_query_equals_sql(spark, con, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
