@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from posttide.llm import mixing, quality, sharding
+import public_tokenizers
+
+from posttide.llm import mixing, packing, quality, sharding
 from posttide.llm.common import table
 
 
@@ -20,7 +22,13 @@ def _sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def _packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op2_packing": _packing,
     "op3_mixing": _mixing,
     "op8_quality": _quality,
     "op10_sharding": _sharding,

@@ -17,7 +17,7 @@ from posttide.sources.tables import read_table
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Rows that one slice of a hash-ordered group holds on average.
-ROWS_PER_SLICE = 10_000
+ROWS_PER_SLICE = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -92,3 +92,9 @@ def running_sums(
     return out.drop(
         *starts.columns, "__slice", *[f"__v_{k}" for k in values]
     )
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python a few at a time: some are hundreds of times the usual length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
