@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from posttide.llm import mixing, packing, quality, sharding
-from posttide.llm.common import table
+from posttide.llm import mixing, packing, quality, sharding, token_files
+from posttide.llm.common import scratch, table
 
 
 def _mixing(spark, sf_dir):
@@ -27,9 +27,17 @@ def _packing(spark, sf_dir):
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _token_files(spark, sf_dir):
+    folder = scratch(spark, "tokens")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, folder)
+
+
 QUERIES = {
     "op2_packing": _packing,
     "op3_mixing": _mixing,
+    "op7_token_files": _token_files,
     "op8_quality": _quality,
     "op10_sharding": _sharding,
 }

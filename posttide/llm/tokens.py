@@ -36,6 +36,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self.size = self._tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         before = described.get("pre_tokenizer") or {}
