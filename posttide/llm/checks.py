@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from posttide.llm import mixing, packing, quality, sharding, token_files
+from posttide.llm import mixing, packing, quality, sharding, token_files, toxicity
 from posttide.llm.common import scratch, table
 
 
@@ -34,9 +35,21 @@ def _token_files(spark, sf_dir):
     return token_files.read_tokens(spark, folder)
 
 
+def _toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        F.col("toxic").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op2_packing": _packing,
     "op3_mixing": _mixing,
+    "op4_toxicity": _toxicity,
     "op7_token_files": _token_files,
     "op8_quality": _quality,
     "op10_sharding": _sharding,
