@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posttide.llm import mixing, packing, quality, sharding, token_files, toxicity
+from posttide.llm import html_text, mixing, packing, quality, sharding, token_files, toxicity
 from posttide.llm.common import scratch, table
 
 
+def _html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def _mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix(docs).drop("source")
@@ -47,6 +51,7 @@ def _toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_html_text": _html_text,
     "op2_packing": _packing,
     "op3_mixing": _mixing,
     "op4_toxicity": _toxicity,
