@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posttide.llm import html_text, mixing, packing, quality, sharding, token_files, toxicity
+from posttide.llm import html_text, mixing, packing, quality, search, sharding, suffixes, token_files, toxicity
 from posttide.llm.common import scratch, table
 
 
@@ -50,14 +50,46 @@ def _toxicity(spark, sf_dir):
     )
 
 
+def _search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return search.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+def _suffixes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffixes.deduplicate(docs).drop("text", "kept")
+
+
 QUERIES = {
     "op1_html_text": _html_text,
     "op2_packing": _packing,
     "op3_mixing": _mixing,
     "op4_toxicity": _toxicity,
+    "op6_search": _search,
     "op7_token_files": _token_files,
     "op8_quality": _quality,
+    "op9_suffixes": _suffixes,
     "op10_sharding": _sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_search": """
+WITH parts AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(
+    list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM parts q JOIN parts d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+}

@@ -94,6 +94,18 @@ def running_sums(
     )
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows, for jobs that run inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python a few at a time: some are hundreds of times the usual length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
