@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posttide.llm import html_text, mixing, packing, quality, search, sharding, suffixes, token_files, toxicity
+from posttide.llm import html_text, mixing, ngram_join, packing, quality, search, sharding, suffixes, token_files, toxicity
 from posttide.llm.common import scratch, table
 
 
@@ -60,11 +60,16 @@ def _suffixes(spark, sf_dir):
     return suffixes.deduplicate(docs).drop("text", "kept")
 
 
+def _ngram_join(spark, sf_dir):
+    return ngram_join.link(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_html_text": _html_text,
     "op2_packing": _packing,
     "op3_mixing": _mixing,
     "op4_toxicity": _toxicity,
+    "op5_ngram_join": _ngram_join,
     "op6_search": _search,
     "op7_token_files": _token_files,
     "op8_quality": _quality,
@@ -73,6 +78,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_ngram_join": _ngram_join,
     "op6_search": """
 WITH parts AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
