@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from posttide.llm import html_text, mixing, ngram_join, packing, quality, search, sharding, suffixes, token_files, toxicity
 from posttide.llm.common import scratch, table
 
@@ -75,6 +76,7 @@ QUERIES = {
     "op8_quality": _quality,
     "op9_suffixes": _suffixes,
     "op10_sharding": _sharding,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
