@@ -25,24 +25,19 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return ngram_join.first_of_each(docs)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Text covered by strings of 200 bytes that occur twice goes; no document goes.
+def _with_length(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is one, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
 
-    Where a cut falls inside a character, what is left of it becomes the replacement character.
-    ``n_chars`` follows the text.
-    """
-    cut = suffixes.deduplicate(docs)
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
-    new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return cut.withColumns(new).select(*docs.columns)
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Text covered by strings of 200 bytes that occur twice goes; no document goes."""
+    return _with_length(suffixes.without_repeats(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each time a document is taken, the last one cut at its word."""
-    mixed = mixing.mixed_documents(docs)
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
-    return mixed.select(*docs.columns)
+    return _with_length(mixing.mixed_documents(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

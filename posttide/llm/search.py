@@ -50,10 +50,9 @@ def _kind(a: np.ndarray, b: np.ndarray) -> type:
     return np.float64 if bound < _EXACT else np.int64 if bound < _LONG else object
 
 
-def _whole(scores: np.ndarray) -> np.ndarray:
-    if scores.dtype == object:  # beyond 64 bits a score stops at the largest long
-        scores = np.clip(scores, -_LONG, _LONG - 1)
-    return scores.astype(np.int64)
+def _bounded(scores: np.ndarray) -> np.ndarray:
+    """Beyond 64 bits a score stops at the ends of their range."""
+    return np.clip(scores, -_LONG, _LONG - 1) if scores.dtype == object else scores
 
 
 def search_range(
@@ -72,7 +71,7 @@ def search_range(
     starts = np.arange(0, len(docs), BLOCK)
     top, low = np.maximum.reduceat(docs, starts), np.minimum.reduceat(docs, starts)
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    bounds = plus @ top.T + minus @ low.T
+    bounds = _bounded(plus @ top.T + minus @ low.T)
     order = np.argsort(-bounds.astype(float), axis=1, kind="stable")
     floors = floors.astype(kind)
     best = [(np.zeros(0, np.int64), np.zeros(0, kind)) for _ in query_ids]
@@ -86,7 +85,7 @@ def search_range(
         for block in np.unique(block_of):
             rows = active[block_of == block]
             part = slice(block * BLOCK, (block + 1) * BLOCK)
-            scores = queries[rows] @ docs[part].T
+            scores = _bounded(queries[rows] @ docs[part].T)
             reach = scores >= floors[rows][:, None]
             reach &= ids[part][None, :] != query_ids[rows][:, None]
             for i in np.flatnonzero(reach.any(1)):
@@ -98,7 +97,7 @@ def search_range(
                     found, values = found[kept], values[kept]
                     floors[row] = max(floors[row], values[-1])
                 best[row] = (found, values)
-    return [(i, found, _whole(values)) for i, (found, values) in enumerate(best) if len(found)]
+    return [(i, found, values.astype(np.int64)) for i, (found, values) in enumerate(best) if len(found)]
 
 
 def _with_region(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:

@@ -14,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posttide.llm import anchors as an
@@ -32,9 +32,14 @@ _BODY = "key long, many boolean, h1 long, h2 long, anchor int, first int, last i
 _SPAN = "h1 long, h2 long, first int, past int"
 
 
-def _keyed(docs: DataFrame, text: Column) -> DataFrame:
-    return docs.withColumns(
-        {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit("second"), text), "__text": text.cast("binary")}
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Each row as ``__row``, its text's bytes, and two hashes that name the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+        F.xxhash64(text).alias("h1"),
+        F.xxhash64(F.lit("second"), text).alias("h2"),
+        text.cast("binary").alias("__text"),
     )
 
 
@@ -199,36 +204,25 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, together: int = TOGETHER) -> DataFrame:
-    """The columns of ``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes).
-
-    Every byte goes that a string of ``length`` bytes covers which also starts anywhere else, in
-    the same document or another; all copies go, the first too. Strings are judged on the input.
-    Null text is empty; texts shorter than ``length`` stay whole; repeated rows are copies of each
-    other and lose everything if long enough. An empty table gives an empty result. Columns with
-    the new names, h1 or h2 must be renamed first.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = _keyed(docs, text)
+def _cut(docs: DataFrame, length: int, gram: int, together: int) -> DataFrame:
+    """Each row as ``__row``, with the counts and what is kept."""
+    small_batches(docs.sparkSession)
+    texts = _keyed(docs)
     spans = stored(repeated_spans(texts, length, gram, together), "spans")
     keys = lookup_side(spans.select(*_TEXT_KEY))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = F.col("__text")
     rest = texts.join(keys, _TEXT_KEY, "left_anti").select(
-        *columns,
-        F.octet_length(text).cast("long").alias("n_bytes"),
+        "__row",
+        F.octet_length("__text").cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"),
-        F.sha2(kept, 256).alias("kept_sha256"),
-        kept.alias("kept"),
+        F.sha2("__text", 256).alias("kept_sha256"),
+        F.col("__text").alias("kept"),
     )
 
     def cut(batches):
         for batch in batches:
-            rows = zip(batch.column("__text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
             counts, out = [], []
+            rows = zip(batch.column("__text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
             for text, spans in rows:
                 merged = _merged(spans)
                 edges = [0, *[x for span in merged for x in span], len(text)]
@@ -236,15 +230,37 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, togethe
                 counts.append((len(text), len(text) - len(left), len(merged)))
                 out.append(left)
             numbers = [pa.array([c[k] for c in counts], _LONG) for k in range(3)]
-            others = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] not in ("__text", "spans")]
-            names = [x for x in batch.schema.names if x not in ("__text", "spans")]
             shas = pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*others, *numbers, shas, pa.array(out, pa.binary())],
-                [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [batch.column("__row"), *numbers, shas, pa.array(out, pa.binary())],
+                ["__row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    hit = texts.join(keys, _TEXT_KEY, "left_semi").join(spans, _TEXT_KEY).select("__row", "__text", "spans")
+    kind = texts.schema["__row"].dataType.simpleString()
     more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    hit = texts.join(keys, _TEXT_KEY, "left_semi").join(spans, _TEXT_KEY).select(*columns, "__text", "spans")
-    return hit.mapInArrow(cut, f"{schema}, {more}").unionByName(rest)
+    return hit.mapInArrow(cut, f"__row {kind}, {more}").unionByName(rest)
+
+
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, together: int = TOGETHER) -> DataFrame:
+    """The columns of ``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes).
+
+    Every byte goes that a string of ``length`` bytes covers which also starts anywhere else, in
+    the same document or another; all copies go, the first too. Strings are judged on the input.
+    Null text is empty; texts shorter than ``length`` stay whole; repeated rows are copies of each
+    other and lose everything if long enough. An empty table gives an empty result. Columns of
+    ``docs`` with the new names are replaced.
+    """
+    new = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    others = [F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in new]
+    return _cut(docs, length, gram, together).select(*others, *new)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The columns of ``docs`` with the repeated bytes cut from text; no row goes.
+
+    Where a cut falls inside a character, what is left of it becomes the replacement character.
+    """
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    columns = [text if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    return _cut(docs, length, GRAM, TOGETHER).select(*columns)

@@ -232,24 +232,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MODEL_ROWS) -> Model:
     return Model(terms, rate, float(size), weights)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` with toxic_score, toxic and the toxic passages found.
-
-    Each word scores its log-odds, or its stem's, less a constant; the linear scan finds every
-    maximal scoring segment of the whole text. A passage is reported when fewer than ``LEAST_E``
-    of its score are expected in a clean text of that length. The document's score calibrates the
-    best segment's evidence and the segments' sum. Null and empty texts have no segment and get
-    the score of such texts; an empty model scores 0. Columns keep their names: names that end in
-    ``toxic_score``, ``toxic`` or ``passages`` in ``docs`` must be renamed first or dropped.
-    """
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """Each row as ``__row``, with toxic_score, toxic and passages."""
     small_batches(docs.sparkSession)
-    out = "array<struct<first:int,past:int,score:double>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    kind = rows.schema["__row"].dataType.simpleString()
 
     def run(batches):
         memo: list = []
         for batch in batches:
-            found = list(_measure(batch.column("text").to_pylist(), model.terms, memo, True))
+            texts = batch.column("__row").field("text").to_pylist()
+            found = list(_measure(texts, model.terms, memo, True))
             n, best, total = (np.array([x[k] for x in found], float) for k in range(3))
             scores = model.score(n, best, total)
             told = [
@@ -260,21 +253,36 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 ]
                 for size, *_, segs in found
             ]
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32()), ("score", pa.float64())]))
+            passage = pa.struct([("first", pa.int32()), ("past", pa.int32()), ("score", pa.float64())])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns,
+                    batch.column("__row"),
                     pa.array(scores, pa.float64()),
                     pa.array((scores >= THRESHOLD).astype(np.int32)),
-                    pa.array(told, kind),
+                    pa.array(told, pa.list_(passage)),
                 ],
-                [*batch.schema.names, "toxic_score", "toxic", "passages"],
+                ["__row", "toxic_score", "toxic", "passages"],
             )
 
-    return docs.mapInArrow(run, f"{schema}, toxic_score double, toxic int, passages {out}")
+    passages = "array<struct<first:int,past:int,score:double>>"
+    return rows.mapInArrow(run, f"__row {kind}, toxic_score double, toxic int, passages {passages}")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs`` with toxic_score, toxic and the toxic passages found.
+
+    Each word scores its log-odds, or its stem's, less a constant; the linear scan finds every
+    maximal scoring segment of the whole text. A passage, given in words, is reported when fewer
+    than ``LEAST_E`` of its score are expected in a clean text of that length. The document's score
+    calibrates the best segment's evidence and the segments' sum. Null and empty texts have no
+    segment and get the score of such texts; an empty model scores 0. Repeated rows score alike;
+    columns of ``docs`` with the new names are replaced. An empty table gives an empty result.
+    """
+    new = ("toxic_score", "toxic", "passages")
+    kept = [F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in new]
+    return _scored(docs, model).select(*kept, *new)
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are not judged toxic, with their columns."""
-    scored = score(docs, fit(docs, labels))
-    return scored.filter("toxic = 0").select(*docs.columns)
+    return _scored(docs, fit(docs, labels)).filter("toxic = 0").select("__row.*")
