@@ -62,7 +62,7 @@ def _metrics(spark, sf_dir):
 
 def _folds(spark, sf_dir):
     rows = v.tweets(spark, sf_dir).select("tweet_id", F.col("sentiment_label").alias("label"))
-    placed = cl.stratified_folds(rows, "label", ["tweet_id"], _FOLDS, rows.count(), 3)
+    placed = cl.stratified_folds(rows, "label", ["tweet_id"], _FOLDS, 3)
     return placed.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,4 +1,4 @@
-"""Text expressions. Everything here stays in the JVM except ``html_unescape``."""
+"""Text expressions. Only texts that built-in functions cannot treat right are handed to Python."""
 
 from __future__ import annotations
 
@@ -131,9 +131,29 @@ def tokenize(cleaned: Column, split_contractions: bool = True) -> Column:
     return whitespace_tokens(cleaned)
 
 
+def _code_points(chosen) -> str:
+    """A character class of the code points for which ``chosen`` holds."""
+    ranges: list[list[int]] = []
+    for code in range(0x80, 0x110000):
+        if not 0xD800 <= code < 0xE000 and chosen(chr(code)):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(str.casefold, na_action="ignore")
+
+
+_FOLDS_OTHERWISE = _code_points(lambda x: x.casefold() != x.lower())
+
+
 def casefold(c: Column) -> Column:
-    """Case folding for the letters where it differs from lower-casing in practice."""
-    return F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    """Full case folding; only texts with letters that fold otherwise than by case leave the JVM."""
+    return F.coalesce(_folded(F.when(c.rlike(_FOLDS_OTHERWISE), c)), F.lower(c))
 
 
 def text_key(c: Column) -> Column:
@@ -201,25 +221,36 @@ def utc_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def _plain(text: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x))
+
+
 def _accent_tables() -> tuple[str, str]:
-    """``translate`` arguments that drop accents, from the Unicode decompositions."""
+    """``translate`` arguments for letters whose plain form is one letter, and for marks."""
     plain_from, plain_to, dropped = [], [], []
     for code in range(0x80, 0x3000):
         char = chr(code)
-        if unicodedata.combining(char):
+        base = _plain(char)
+        if not base and unicodedata.combining(char):
             dropped.append(char)
-            continue
-        parts = unicodedata.normalize("NFKD", char)
-        base = "".join(p for p in parts if not unicodedata.combining(p))
-        if len(base) == 1 and base != char:
+        elif len(base) == 1 and base != char:
             plain_from.append(char)
             plain_to.append(base)
     return "".join(plain_from + dropped), "".join(plain_to)
 
 
 _ACCENTS_FROM, _ACCENTS_TO = _accent_tables()
+_TRANSLATED = frozenset(_ACCENTS_FROM)
+_PLAIN_OTHERWISE = _code_points(lambda x: x not in _TRANSLATED and _plain(x) != x)
+
+
+@F.pandas_udf(T.StringType())
+def _without_accents(texts: pd.Series) -> pd.Series:
+    return texts.map(_plain, na_action="ignore")
 
 
 def strip_accents(c: Column) -> Column:
-    """Accented letters to plain ones, marks dropped (code points below U+3000)."""
-    return F.translate(c, _ACCENTS_FROM, _ACCENTS_TO)
+    """Compatibility decomposition without its marks; only texts with letters that decompose into
+    several, or that lie beyond U+3000, leave the JVM."""
+    otherwise = _without_accents(F.when(c.rlike(_PLAIN_OTHERWISE), c))
+    return F.coalesce(otherwise, F.translate(c, _ACCENTS_FROM, _ACCENTS_TO))

@@ -30,11 +30,11 @@ MIN_ROWS_FOR_FOLDS = 6
 PARALLEL_FITS = 10
 TEXTS_PER_FILE = 2_000
 
-# Solver tolerances: validation scores need less precision than the final model.
-FOLD_TOLERANCE = 1e-3
-FINAL_TOLERANCE = 1e-4
+# Solver tolerance, of the folds' models and the final one alike.
+TOLERANCE = 1e-4
 
-# Above this many terms, terms share coefficients by hash; below, each has its own.
+# Terms that a model may have: each has coefficients of its own, which the solver keeps on the
+# driver. Beyond it training is refused; fewer labelled rows bring fewer terms.
 MAX_FEATURES = 1 << 24
 
 
@@ -94,11 +94,11 @@ def fold_metrics(
 
 
 def stratified_folds(
-    rows: DataFrame, label: str, spread: list[str], folds: int, n_rows: int, n_labels: int
+    rows: DataFrame, label: str, spread: list[str], folds: int, n_labels: int
 ) -> DataFrame:
     """Add ``fold``: within each label, fold sizes differ by at most one."""
     order = [F.xxhash64(F.lit(FOLD_SEED), *spread), *[F.col(c) for c in spread]]
-    placed = with_position(rows, [label], order, spread, "_position", n_rows, n_labels)
+    placed = with_position(rows, [label], order, spread, "_position", n_labels)
     return placed.withColumn("fold", (F.col("_position") % folds).cast("int")).drop("_position")
 
 
@@ -202,9 +202,6 @@ def write_vectors(
         )
         .withColumn("w", ft.raw_weight())
     )
-    if size == MAX_FEATURES:
-        # Terms that share an index add up.
-        weighted = weighted.groupBy(*keys, "left_out", "block", "index").agg(F.sum("w").alias("w"))
     entry = F.when(F.col("index").isNotNull(), F.struct("index", "block", "w"))
     vectors = (
         weighted.groupBy(*keys, "left_out")
@@ -258,7 +255,7 @@ def _fit(spark: SparkSession, path: str, fold: int, cand: Candidate, sets: Train
         regParam=1.0 / (cand.c * sets.total_weight(fold)),
         standardization=False,
         maxIter=cand.max_iter,
-        tol=FINAL_TOLERANCE if fold == ALL_TEXTS else FOLD_TOLERANCE,
+        tol=TOLERANCE,
         family="multinomial" if len(sets.labels) > 2 else "binomial",
     ).fit(rows)
 
@@ -453,10 +450,9 @@ def _indexed_terms(counts: DataFrame, folds: int) -> tuple[DataFrame, int, int]:
     frequencies = spark.read.parquet(f"{base}/counted")
     n_terms = frequencies.count()
     if n_terms > MAX_FEATURES:
-        index = F.pmod(F.xxhash64("block", "term"), F.lit(MAX_FEATURES)).cast("int")
-        return frequencies.withColumn("index", index), n_terms, MAX_FEATURES
+        raise ValueError(f"{n_terms} terms are more than the {MAX_FEATURES} a model may have")
     order = [F.col("block"), F.col("term")]
-    placed = with_position(frequencies, [], order, ["block", "term"], "_position", n_terms, 1)
+    placed = with_position(frequencies, [], order, ["block", "term"], "_position", 1)
     placed.withColumn("index", F.col("_position").cast("int")).drop("_position").write.parquet(
         f"{base}/indexed"
     )
@@ -517,8 +513,7 @@ def train(corpus: DataFrame, extra_metadata: dict | None = None) -> SentimentCla
     """Choose a candidate by cross-validation and refit it on all rows.
 
     ``corpus`` has ``text, label, sample_weight``; rows lacking one are dropped, an
-    unreadable weight counts 1. Vocabulary and coefficients are bounded by
-    ``MAX_FEATURES``, which is what the solver keeps on the driver.
+    unreadable weight counts 1. More than ``MAX_FEATURES`` terms are an error.
     """
     spark = corpus.sparkSession
     base = f"{shared_dir(spark)}/corpus-{uuid4().hex}"
@@ -532,7 +527,7 @@ def train(corpus: DataFrame, extra_metadata: dict | None = None) -> SentimentCla
     if total < MIN_ROWS_FOR_FOLDS or smallest < 2:
         folds = 0
     if folds:
-        placed = stratified_folds(rows, "label", ["doc_key"], folds, total, len(counted))
+        placed = stratified_folds(rows, "label", ["doc_key"], folds, len(counted))
     else:
         placed = rows.withColumn("fold", F.lit(0))
     placed.write.parquet(f"{base}/placed")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from posttide.session import lookup_side
 
-_ROWS_PER_SLICE = 100_000
+# Slices of each group. Their number is fixed, so that a row's slice, and with it the order, depends
+# on the row alone and not on how many others there are.
+_SLICES = 1024
 
 
 def with_position(
@@ -17,18 +19,16 @@ def with_position(
     order: list[Column],
     spread: list[str],
     name: str,
-    rows: int,
     groups: int,
 ) -> DataFrame:
     """Add the 0-based position of each row in its group.
 
-    Rows are cut into hash slices of bounded size; a row's position is its rank in
-    its slice plus the sizes of the slices before it. The order is therefore by
-    slice first, which is arbitrary but fixed by the ``spread`` columns. ``rows``
-    and ``groups`` are the (known) numbers of rows and groups.
+    Rows are cut into hash slices; a row's position is its rank in its slice plus the
+    sizes of the slices before it. The order is therefore by slice first, which is
+    arbitrary but fixed by the ``spread`` columns. ``groups`` is the (known) number
+    of groups.
     """
-    slices = rows // _ROWS_PER_SLICE + 1
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread), F.lit(slices)))
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread), F.lit(_SLICES)))
     keys = [*group, "_slice"]
     before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     sizes = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
@@ -36,7 +36,7 @@ def with_position(
         *keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
     ranked = sliced.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    placed = ranked.join(lookup_side(offsets, slices * groups), keys)
+    placed = ranked.join(lookup_side(offsets, _SLICES * groups), keys)
     return placed.withColumn(name, F.col("_offset") + F.col("_rank") - 1).drop(
         "_slice", "_rank", "_offset"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from posttide.functions.text import WORD
-from posttide.params import FALLBACK_SOURCE, SearchParams
+from posttide.params import FALLBACK_SOURCE, RECENT_SOURCE, SearchParams
 from posttide.session import cut_lineage
 
 
@@ -124,7 +124,36 @@ def first_seen(
     return cap_rows(kept, ["query_idx", item, "tweet_id"], params.max_results)
 
 
-# Up to this cap the rows fit one task, and a plain top-k is the cheapest plan.
+def chosen_posts(
+    posts: DataFrame, params: SearchParams, served: str, now: datetime
+) -> DataFrame:
+    """The posts of one source that belong to the search, at most ``max_results`` of them.
+
+    A feed is searched topic by topic; other sources by keyword and hashtags, and the one that
+    keeps recent posts only also by its window. Filters come first, then one row per id, then the
+    cap, all in the order of arrival. Sources that do not number their items go by file, date and
+    id; every order ends in the row's hash, so that it is total.
+    """
+    arrival = [c for c in ("page_key", "item_idx") if c in posts.columns]
+    marked = posts.withColumn("_hash", F.xxhash64(*posts.columns))
+    order = [*arrival, "created_at", "tweet_id", "_hash"]
+    if served == FALLBACK_SOURCE:
+        hits = _matching_variants(F.lower("content"), params)
+        found = marked.filter(
+            in_date_window(F.col("created_at"), params.start_date, params.end_date)
+        ).withColumn("_topic", F.get(hits, F.lit(0))["query_idx"])
+        found, order = found.filter(F.col("_topic").isNotNull()), ["_topic", *order]
+    else:
+        found = marked.filter(matches_search(F.col("content"), F.col("created_at"), params))
+        if served == RECENT_SOURCE:
+            found = found.filter(in_recent_window(F.col("created_at"), params, now))
+    met = W.partitionBy("tweet_id").orderBy(*order)
+    first = found.withColumn("_rank", F.row_number().over(met)).filter(F.col("_rank") == 1)
+    return cap_rows(first, order, params.max_results).select(*posts.columns)
+
+
+# Up to this cap the rows fit one task, and a plain top-k is the cheapest plan. Beyond it the same
+# rows come from ranges; neither path promises an order of its output.
 _SMALL_CAP = 100_000
 
 
@@ -226,7 +255,8 @@ def fetch_batch(
 ) -> Batch:
     """Read the resolved source; if it fails or is empty, read the fallback.
 
-    When the fallback is empty too, an error of the resolved source is raised.
+    A source is read to its end and kept before it counts, so that a failure in its last partition
+    brings the fallback too. When the fallback is empty, an error of the resolved source is raised.
     """
     names = [resolved] + ([FALLBACK_SOURCE] if resolved != FALLBACK_SOURCE else [])
     failed: Exception | None = None
@@ -234,7 +264,7 @@ def fetch_batch(
     for name in names:
         last = name == names[-1]
         try:
-            posts = readers[name]()
+            posts = cut_lineage(readers[name]())
             empty = posts.isEmpty()
         except Exception as exc:
             if last:

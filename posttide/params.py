@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SOURCES = ("auto", "snscrape", "twscrape", "x_api", "news_rss")
 AUTO_ORDER = ("x_api", "twscrape", "snscrape")
 FALLBACK_SOURCE = "news_rss"
+RECENT_SOURCE = "x_api"
 RECENT_DAYS = 7
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,6 @@ class RunResult:
     processed_export_path: str | None
 
 
-def _first_arrived(posts: DataFrame, max_results: int) -> DataFrame:
-    order = [c for c in ("page_key", "item_idx") if c in posts.columns]
-    return search.cap_rows(posts, order, max_results) if order else posts.limit(max_results)
-
-
 def ingest(
     store: PostStore,
     params: SearchParams,
@@ -48,8 +44,9 @@ def ingest(
     available: tuple[str, ...] = (),
     raw_dir: str | None = None,
     processed_dir: str | None = None,
+    now: datetime | None = None,
 ) -> RunResult:
-    """Read, analyze, store, link and export one search, and log the run.
+    """Read, search, analyze, store, link and export one search, and log the run.
 
     ``readers`` gives the landed posts of each source in the post schema. A
     failure after the run was opened is logged with the run and raised.
@@ -59,20 +56,20 @@ def ingest(
     run_id = store.open_run(params.source_query, model_name, asked, resolved)
     try:
         batch = search.fetch_batch(readers, asked, resolved)
-        # Numbered once and written, so that repeated tasks see the same numbers.
-        capped = _first_arrived(batch.posts, params.max_results)
-        posts = cut_lineage(capped.withColumn("ordinal", F.monotonically_increasing_id()))
+        chosen = search.chosen_posts(batch.posts, params, batch.served_backend, now or utc_now())
+        # Ids are distinct by now, so the ordinal only names a row. It is given once and written.
+        posts = cut_lineage(chosen.withColumn("ordinal", F.monotonically_increasing_id()))
         analyzed = cut_lineage(analyze(posts, scorer))
         collected = posts.count()
         stored = store.upsert_tweets(analyzed)
         store.link_tweets(run_id, analyzed.select("tweet_id"))
-        spark, now = store.spark, utc_now()
+        spark, at = store.spark, utc_now()
         raw = processed = None
         if raw_dir:
-            path = exports.export_path(spark, raw_dir, params.source_query, now)
+            path = exports.export_path(spark, raw_dir, params.source_query, at)
             raw = exports.export_raw(posts, path)
         if processed_dir:
-            path = exports.export_path(spark, processed_dir, params.source_query, now)
+            path = exports.export_path(spark, processed_dir, params.source_query, at)
             processed = exports.export_processed(analyzed, path)
         store.complete_run(
             run_id, collected, stored, batch.served_backend, batch.fallback_used, raw, processed

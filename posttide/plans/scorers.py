@@ -62,10 +62,15 @@ def resolve_scorer(
     training_path: str | None = None,
     auto_train: bool = True,
 ) -> Scorer:
-    """``vader`` (lexicon) or ``ml``; any other name is an error."""
+    """``vader`` with the lexicon given, ``sample_lexicon`` with the small one that comes along, or
+    ``ml``; any other name is an error."""
     kind = name.lower()
     if kind == "vader":
-        return lexicon_scorer(lex.seed_lexicon(spark) if lexicon is None else lexicon)
+        if lexicon is None:
+            raise ValueError("the scorer `vader` needs its lexicon; `sample_lexicon` has a small one")
+        return lexicon_scorer(lexicon)
+    if kind == "sample_lexicon":
+        return lexicon_scorer(lex.seed_lexicon(spark))
     if kind == "ml":
         return ml_scorer(load_or_train(spark, model_path, training_path, auto_train))
     raise ValueError(f"unsupported sentiment model: {name}")

@@ -25,6 +25,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def make(spark: SparkSession, folder: str) -> None:
+    """Create a folder and those above it."""
+    fs, hadoop_path = _fs(spark, folder)
+    fs.mkdirs(hadoop_path)
+
+
 def entries(spark: SparkSession, folder: str) -> list[Entry]:
     """Direct children of a folder; none when it does not exist."""
     fs, hadoop_path = _fs(spark, folder)

@@ -9,6 +9,7 @@ One writer at a time is assumed.
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,14 +76,40 @@ class PostStore:
         changes = state.conform(
             self.spark.read.option("basePath", self._batches()).parquet(*folders), "tweets"
         )
-        fresh = state.last_per_key(changes, "tweet_id", ["n", "ordinal"])
         if folded is None:
+            fresh = state.last_per_key(changes, "tweet_id", ["n", "ordinal"])
             return fresh.select(*schemas.TWEETS.names)
         return state.upsert(base, changes.withColumn("ordinal", F.struct("n", "ordinal")))
 
+    def _claims(self) -> str:
+        return f"{self.root}/tweets/claims"
+
+    def _claimed(self) -> list[tuple[str, int, int]]:
+        """(stream, its batch, number) of every number that a stream was given."""
+        return [
+            (e.name.rsplit("-", 2)[0], int(e.name.rsplit("-", 2)[1]), int(e.name.rsplit("-", 2)[2]))
+            for e in paths.entries(self.spark, self._claims())
+        ]
+
     def next_batch(self) -> int:
         done = paths.finished_numbers(self.spark, self._batches(), "n")
-        return max([*done, self._snapshot_number() or 0]) + 1
+        claimed = [number for *_, number in self._claimed()]
+        return max([*done, *claimed, self._snapshot_number() or 0]) + 1
+
+    def claim_batch(self, stream: str, batch_id: int) -> int | None:
+        """The number of a stream's batch: the one it was given before, or a new one.
+
+        A replayed batch finds its own folder again and no one else's. None says that a snapshot
+        holds the batch already.
+        """
+        name = hashlib.sha256(stream.encode()).hexdigest()[:24]
+        for known, batch, number in self._claimed():
+            if (known, batch) == (name, batch_id):
+                folded = self._snapshot_number()
+                return None if folded is not None and number <= folded else number
+        number = self.next_batch()
+        paths.make(self.spark, f"{self._claims()}/{name}-{batch_id}-{number}")
+        return number
 
     def upsert_tweets(self, analyzed: DataFrame, batch: int | None = None) -> int:
         """Store analyzed posts; returns how many were given, copies included."""

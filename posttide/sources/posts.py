@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posttide import schemas
 from posttide.functions import text as t
@@ -50,17 +51,36 @@ def rejected_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def posts_from_pages(pages: DataFrame) -> DataFrame:
-    """Posts of error-free pages.
+def _unreadable(date: Column) -> Column:
+    """A date is there but is no date."""
+    return date.isNotNull() & F.try_to_timestamp(date).isNull()
 
-    Authors are listed in the page itself, so they are looked up inside the row
-    (the last entry of an id wins) and nothing is joined.
-    """
-    items = pages.filter(~has_errors()).select(
+
+def _page_items(pages: DataFrame) -> DataFrame:
+    return pages.filter(~has_errors()).select(
         *[c for c in ("run_id", "page_key") if c in pages.columns],
         F.posexplode("data").alias("item_idx", "tweet"),
         F.col("includes.users").alias("users"),
     )
+
+
+def quarantined_tweets(pages: DataFrame) -> DataFrame:
+    """Items of error-free pages whose date cannot be read."""
+    return _page_items(pages).filter(_unreadable(F.col("tweet.created_at"))).drop("users")
+
+
+def quarantined_scraped(scraped: DataFrame) -> DataFrame:
+    """Scraped posts whose date cannot be read."""
+    return scraped.filter(_unreadable(F.col("date")))
+
+
+def posts_from_pages(pages: DataFrame) -> DataFrame:
+    """Posts of error-free pages; items with an unreadable date are left to the quarantine.
+
+    Authors are listed in the page itself, so they are looked up inside the row
+    (the last entry of an id wins) and nothing is joined.
+    """
+    items = _page_items(pages).filter(~_unreadable(F.col("tweet.created_at")))
     same_id = F.filter(
         "users", lambda u: u["id"].isNotNull() & (u["id"] == F.col("tweet.author_id"))
     )
@@ -71,7 +91,7 @@ def posts_from_pages(pages: DataFrame) -> DataFrame:
     return _post(
         items,
         tweet_id=tweet_id,
-        created_at=F.to_timestamp("tweet.created_at"),
+        created_at=F.try_to_timestamp("tweet.created_at"),
         username=username,
         display_name=F.coalesce("author.name", F.lit(UNKNOWN)),
         content=F.coalesce("tweet.text", F.lit("")),
@@ -89,6 +109,8 @@ def read_scraped_posts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def posts_from_scraped(scraped: DataFrame) -> DataFrame:
+    """Scraped posts but those with an unreadable date."""
+    scraped = scraped.filter(~_unreadable(F.col("date")))
     content = F.coalesce(
         F.nullif("rawContent", F.lit("")), F.col("renderedContent"), F.lit("")
     )
@@ -96,7 +118,7 @@ def posts_from_scraped(scraped: DataFrame) -> DataFrame:
     return _post(
         scraped,
         tweet_id=F.coalesce("id", F.lit("")),
-        created_at=F.to_timestamp("date"),
+        created_at=F.try_to_timestamp("date"),
         username=F.coalesce("user.username", F.lit(UNKNOWN)),
         display_name=F.coalesce("user.displayname", F.lit(UNKNOWN)),
         content=content,
@@ -109,15 +131,18 @@ def posts_from_scraped(scraped: DataFrame) -> DataFrame:
 
 
 def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of landed RSS files; a malformed file is an error."""
-    return (
+    """Items of the channels of landed RSS files, numbered in order; a malformed file is an error."""
+    channel = T.StructType([T.StructField("item", T.ArrayType(schemas.FEED_ITEM))])
+    channels = (
         spark.read.format("xml")
-        .option("rowTag", "item")
+        .option("rowTag", "channel")
         .option("mode", "FAILFAST")
-        .schema(schemas.FEED_ITEM)
+        .schema(channel)
         .load(path)
         .withColumn("page_key", F.col("_metadata.file_path"))
     )
+    items = channels.select("page_key", F.posexplode("item").alias("item_idx", "item"))
+    return items.select("item.*", "page_key", "item_idx")
 
 
 def _cleaned_items(items: DataFrame) -> DataFrame:

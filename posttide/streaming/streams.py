@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from posttide import schemas
-from posttide.operators.series import label_counts
+from posttide.operators.series import check_granularity, label_counts
 from posttide.plans.scorers import Scorer, analyze
 from posttide.sinks.store import PostStore
 from posttide.sources.posts import posts_from_scraped
@@ -25,14 +25,16 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Upsert and link each micro-batch, then stop when all landed files are read.
 
-    A micro-batch always writes the batch folder of its own number, so replaying
-    it changes nothing. The store takes no other writer meanwhile.
+    A stream is known by its checkpoint. Each of its micro-batches claims a batch number of the
+    store and keeps it, so replaying one replaces its own folder, and neither another stream's nor
+    a job's. The store takes no other writer meanwhile.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        number = store.claim_batch(checkpoint, batch_id)
         numbered = batch.withColumn("ordinal", F.monotonically_increasing_id()).persist()
-        analyzed = analyze(numbered, scorer)
-        store.upsert_tweets(analyzed, batch=batch_id + 1)
+        if number is not None:
+            store.upsert_tweets(analyze(numbered, scorer), batch=number)
         store.link_tweets(run_id, numbered.select("tweet_id"))
         numbered.unpersist()
 
@@ -49,8 +51,7 @@ def series_stream(posts: DataFrame, granularity: str, delay: str = "1 hour") ->
 
     ``posts`` carries ``run_id``. Gaps are filled when the result is read.
     """
-    if granularity not in _WIDTHS:
-        raise ValueError("granularity must be either `hourly` or `daily`.")
+    check_granularity(granularity)
     window = F.window("created_at", _WIDTHS[granularity])
     return (
         posts.withWatermark("created_at", delay)

@@ -97,7 +97,9 @@ def test_ingest_job(spark, tmp_path):
     store = PostStore(spark, str(tmp_path / "store"))
     readers = {
         "twscrape": lambda: posts(spark, []),
-        "news_rss": lambda: posts(spark, [("tweet-1", "New release looks strong", 42)]),
+        "news_rss": lambda: posts(
+            spark, [("tweet-1", "OpenAI release looks strong", 42), ("tweet-2", "unrelated", 1)]
+        ),
     }
     params = SearchParams("openai", ("AI",), max_results=25)
     result = jobs.ingest(
@@ -116,7 +118,7 @@ def test_ingest_job(spark, tmp_path):
     assert report["series"].first()["rolling_average"] == pytest.approx(0.7)
     preview = report["export_preview"]
     assert tuple(preview.columns) == exports.PROCESSED_COLUMNS
-    assert preview.first()["tokens"] == '["new","release","looks","strong"]'
+    assert preview.first()["tokens"] == '["openai","release","looks","strong"]'
     assert Path(result.processed_export_path).name.startswith("keyword_openai_hashtags_ai_start_end_limit_25_")
     assert jobs.run_report(store, 99) == {}
 

@@ -40,6 +40,33 @@ def test_ingest_stream_upserts_each_batch(spark, tmp_path):
     assert store.links().count() == 3
 
 
+def test_streams_and_runs_share_a_store(spark, tmp_path):
+    store = PostStore(spark, str(tmp_path / "store"))
+    scorer = lexicon_scorer(seed_lexicon(spark))
+
+    def run(name, run_id):
+        found = streams.scraped_stream(spark, str(tmp_path / name))
+        streams.ingest_stream(found, store, scorer, run_id, str(tmp_path / f"cp-{name}")).awaitTermination()
+
+    land(tmp_path / "one", "1.json", [("a1", 1, "good"), ("a2", 2, "bad")])
+    run("one", 1)
+    land(tmp_path / "two", "1.json", [("b1", 1, "good")])
+    run("two", 2)
+    assert {r["tweet_id"] for r in store.tweets().collect()} == {"a1", "a2", "b1"}
+    store.compact()
+    land(tmp_path / "three", "1.json", [("c1", 1, "good"), ("a1", 2, "awful")])
+    run("three", 3)
+    land(tmp_path / "one", "2.json", [("a3", 3, "plain")])
+    run("one", 1)
+    got = {r["tweet_id"]: r["sentiment_label"] for r in store.tweets().collect()}
+    assert set(got) == {"a1", "a2", "a3", "b1", "c1"} and got["a1"] == "negative"
+    assert store.links().join(store.tweets(), "tweet_id", "left_anti").count() == 0
+    number = store.claim_batch(str(tmp_path / "cp-three"), 0)
+    assert store.claim_batch(str(tmp_path / "cp-three"), 0) == number
+    store.compact()
+    assert store.claim_batch(str(tmp_path / "cp-three"), 0) is None
+
+
 def test_series_stream_equals_batch(spark, tmp_path):
     start = datetime(2026, 5, 6)
     rows = [(1, start + timedelta(minutes=7 * i), ("positive", "neutral")[i % 2], i / 100) for i in range(60)]

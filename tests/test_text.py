@@ -5,6 +5,8 @@ import random
 import re
 import string
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
