@@ -18,6 +18,9 @@ _RUN = re.compile(r"\s (?:\s|$)")
 # that combine with what stands before them.
 _ODD = re.compile(r"[\s0\u0300-\u036f]")
 
+# Marks a word that no space stands before; texts that hold it are encoded whole.
+_FIRST = "\x01"
+
 # New words that are encoded as one line.
 _LINE = 256
 
@@ -82,17 +85,31 @@ class Encoder:
         return out
 
     def _parts(self, text: str) -> list[str] | None:
+        """Words to look up, the first one marked; None for a text to be encoded whole.
+
+        A word of a byte-level tokenizer stands for itself behind a space; the first one, and those
+        that begin with a line break, stand for themselves alone.
+        """
         if any(x in text for x in self._special) or not (self._spaced or self._dropped):
             return None
         if self._dropped:
             return text.replace("\n", " ").split(" ")
-        if " " in text and _RUN.search(text):
+        if _FIRST in text or " " in text and _RUN.search(text):
             return None
-        if "\n" not in text or " \n" in text or "\n\n" in text:
-            first, *rest = text.split(" ")
-            return [first, *[f" {x}" for x in rest]]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[x if x[:1] == "\n" else f" {x}" for x in rest]]
+        if "\n" in text:
+            if " \n" in text or "\n\n" in text:
+                first, *rest = text.split(" ")
+                return [_FIRST + first, *[x if x[:1] != "\n" else f"{_FIRST} {x}" for x in rest]]
+            text = text.replace("\n", " \n")
+        parts = text.split(" ")
+        parts[0] = _FIRST + parts[0]
+        return parts
+
+    def _alone(self, part: str) -> str:
+        """The text that a word to look up stands for."""
+        if self._dropped or part[:1] == "\n":
+            return part
+        return part[1:] if part[:1] == _FIRST else f" {part}"
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -100,15 +117,16 @@ class Encoder:
         if len(self._known) > WORDS_KEPT:
             self._known, self._older = {}, self._known
         known, older = self._known, self._older
-        met = {p for parts in cut if parts for p in parts}
+        met = set().union(*[parts for parts in cut if parts])
         new = []
-        for p in met:
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    new.append(p)
-        at_hand = self._encode_words(new)
+        for p in met.difference(known):
+            if p in older:
+                known[p] = older[p]
+            else:
+                new.append(p)
+        alone = [self._alone(p) for p in new]
+        encoded = self._encode_words(list(set(alone)))
+        at_hand = {p: encoded[x] for p, x in zip(new, alone, strict=True)}
         known.update((p, ids) for p, ids in at_hand.items() if len(p) <= LONGEST_KEPT)
         if any(len(p) > LONGEST_KEPT for p in new):
             known = {**{p: known[p] for p in met if p in known}, **at_hand}
