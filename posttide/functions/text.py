@@ -152,8 +152,13 @@ _FOLDS_OTHERWISE = _code_points(lambda x: x.casefold() != x.lower())
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding; only texts with letters that fold otherwise than by case leave the JVM."""
-    return F.coalesce(_folded(F.when(c.rlike(_FOLDS_OTHERWISE), c)), F.lower(c))
+    """Full case folding; only texts with letters that fold otherwise than by case leave the JVM.
+
+    The optimizer takes ``lower(upper(x))`` for ``lower(x)``, so the letters that upper-casing
+    would have changed are folded after lower-casing as well.
+    """
+    lower = F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    return F.coalesce(_folded(F.when(c.rlike(_FOLDS_OTHERWISE), c)), lower)
 
 
 def text_key(c: Column) -> Column:
