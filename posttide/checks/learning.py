@@ -11,6 +11,7 @@ from posttide.checks.text import _WS
 from posttide.ml import classifier as cl
 from posttide.ml import features as ft
 from posttide.operators import corpus as co
+from posttide.session import written
 
 _FOLDS = 5
 
@@ -29,7 +30,7 @@ def _idf(spark, sf_dir):
 
 def _lengths(spark, sf_dir):
     """Terms, occurrences and vector length of every document, per block."""
-    counts = _counts(spark, sf_dir, "documents", ["doc_id"]).persist()
+    counts = written(_counts(spark, sf_dir, "documents", ["doc_id"]))
     n = v.table(spark, sf_dir, "documents").count()
     known = ft.idf_table(counts, n).select("block", "term", "idf")
     weighted = counts.join(known, ["block", "term"]).withColumn("w", ft.raw_weight())

@@ -19,17 +19,17 @@ def share_of_total(count: str, group: list[str]) -> Column:
 def sentiment_distribution(
     tweets: DataFrame, links: DataFrame, run_id: int | None = None
 ) -> DataFrame:
-    """Posts per label: ``run_id, label, count``, most frequent first."""
+    """Posts per label: ``run_id, label, count``."""
     posts = posts_of_runs(tweets, links, run_id, ["sentiment_label"])
-    counts = posts.groupBy("run_id", F.col("sentiment_label").alias("label")).agg(
+    return posts.groupBy("run_id", F.col("sentiment_label").alias("label")).agg(
         F.count(F.lit(1)).alias("count")
     )
-    return counts.orderBy("run_id", F.desc("count"), F.asc("label"))
 
 
 def distribution_frame(distribution: DataFrame) -> DataFrame:
-    """Add ``percentage``; the window holds one row per label of a run."""
-    return distribution.withColumn("percentage", share_of_total("count", ["run_id"]))
+    """Add ``percentage``, most frequent first; the window holds one row per label of a run."""
+    shares = distribution.withColumn("percentage", share_of_total("count", ["run_id"]))
+    return shares.orderBy("run_id", F.desc("count"), F.asc("label"))
 
 
 def _by_label(posts: DataFrame, keys: list[str]) -> DataFrame:
