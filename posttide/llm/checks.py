@@ -80,7 +80,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op5_ngram_join": _ngram_join,
     "op6_search": """
 WITH parts AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
