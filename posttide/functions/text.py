@@ -6,6 +6,7 @@ import html
 import re
 import string
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -148,7 +149,9 @@ def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(str.casefold, na_action="ignore")
 
 
-_FOLDS_OTHERWISE = _code_points(lambda x: x.casefold() != x.lower())
+@cache
+def _folds_otherwise() -> str:
+    return _code_points(lambda x: x.casefold() != x.lower())
 
 
 def casefold(c: Column) -> Column:
@@ -158,7 +161,7 @@ def casefold(c: Column) -> Column:
     would have changed are folded after lower-casing as well.
     """
     lower = F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ")
-    return F.coalesce(_folded(F.when(c.rlike(_FOLDS_OTHERWISE), c)), lower)
+    return F.coalesce(_folded(F.when(c.rlike(_folds_otherwise()), c)), lower)
 
 
 def text_key(c: Column) -> Column:
@@ -246,7 +249,11 @@ def _accent_tables() -> tuple[str, str]:
 
 _ACCENTS_FROM, _ACCENTS_TO = _accent_tables()
 _TRANSLATED = frozenset(_ACCENTS_FROM)
-_PLAIN_OTHERWISE = _code_points(lambda x: x not in _TRANSLATED and _plain(x) != x)
+
+
+@cache
+def _plain_otherwise() -> str:
+    return _code_points(lambda x: x not in _TRANSLATED and _plain(x) != x)
 
 
 @F.pandas_udf(T.StringType())
@@ -257,5 +264,5 @@ def _without_accents(texts: pd.Series) -> pd.Series:
 def strip_accents(c: Column) -> Column:
     """Compatibility decomposition without its marks; only texts with letters that decompose into
     several, or that lie beyond U+3000, leave the JVM."""
-    otherwise = _without_accents(F.when(c.rlike(_PLAIN_OTHERWISE), c))
+    otherwise = _without_accents(F.when(c.rlike(_plain_otherwise()), c))
     return F.coalesce(otherwise, F.translate(c, _ACCENTS_FROM, _ACCENTS_TO))

@@ -113,6 +113,20 @@ def test_accents(spark):
     assert one(spark, t.strip_accents(F.col("c")), c="Éàü ñ ß é") == "Eau n ß e"
 
 
+def test_accents_of_every_kind(spark):
+    for text in ("ﬁn ĳ Ǆ", "한국어 é", "㍿ ½ ｱﾞ", "𝒜 豈", "plain", ""):
+        plain = unicodedata.normalize("NFKD", text)
+        plain = "".join(x for x in plain if not unicodedata.combining(x))
+        assert one(spark, t.strip_accents(F.col("c")), c=text) == plain
+    assert one(spark, t.strip_accents(F.nullif(F.col("c"), F.col("c"))), c="x") is None
+
+
+def test_casefold(spark):
+    for text in ("Straße ΣΊΣΥΦΟΣ", "ŉ ǰ ΐ ﬃ ẞ ſ", "İstanbul Ꭰ", "ABC déf", ""):
+        assert one(spark, t.casefold(F.col("c")), c=text) == text.casefold()
+    assert one(spark, t.casefold(F.upper(F.col("c"))), c="enheitß") == "enheitss"
+
+
 def test_labels_and_weights(spark):
     assert one(spark, labels.canonical_label(F.col("c")), c=" Pos\n") == "positive"
     assert one(spark, labels.canonical_label(F.col("c")), c="mixed") is None
