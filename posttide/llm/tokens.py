@@ -10,7 +10,7 @@ import unicodedata
 import numpy as np
 
 # Words remembered by a worker, and the longest that is.
-WORDS_KEPT, LONGEST_KEPT = 400_000, 64
+WORDS_KEPT, LONGEST_KEPT = 200_000, 64
 
 # A space between two white-space characters belongs to their run; the text is then not cut.
 _RUN = re.compile(r"\s (?:\s|$)")

@@ -30,7 +30,7 @@ THRESHOLD = 0.3
 LEAST_E = 0.01
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_MEMO = 400_000
+_MEMO = 200_000
 
 
 @dataclass(frozen=True)
