@@ -95,6 +95,19 @@ def test_groups_that_stay_undecided_are_compared_in_blocks(docs_of, monkeypatch)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == _linked(rows)
 
 
+def test_repeated_short_texts_list_all_their_shingles(docs_of, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON", 3)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 10_000)
+    rng, vocabulary = _vocabulary(3)
+    phrase, rows = rng.choices(vocabulary, k=6), []
+    for i in range(60):  # 4 and 3 shingles, of which all texts share 2
+        more = rng.choices(vocabulary, k=2)
+        longer, shorter = " ".join(phrase + more), " ".join(phrase + more[:1])
+        rows += [(2 * i, longer), (2 * i, longer), (2 * i + 1, shorter)]
+    got = ngram_join.link(docs_of(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == _linked(rows)
+
+
 def test_one_of_each_component_stays(docs_of):
     rows = [(3, "a b c d e f"), (1, "A b c d e f"), (2, "x y z"), (2, "x y z"), (None, "a b c d e f"), (7, None), (8, "")]
     docs = docs_of(rows, component_id="x", rep="y")
