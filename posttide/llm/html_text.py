@@ -38,9 +38,11 @@ _BLOCK = frozenset(
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Blocks whose points go to their parent; others keep the points of text of their own.
 _PARAGRAPHS = _HEADINGS | frozenset("p pre li dd dt td th figcaption caption summary address".split())
-_NOISE_TAGS = frozenset(
-    "nav aside footer form head noscript template iframe object canvas svg math video audio map "
-    "button select option datalist dialog menu search".split()
+_NOISE_TAGS = frozenset("nav aside footer form dialog menu search".split())
+# Tags that hold no text of the page.
+_NO_TEXT_TAGS = frozenset(
+    "head noscript template iframe object canvas svg math video audio map button select option "
+    "datalist".split()
 )
 _NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form "
@@ -73,12 +75,12 @@ _P_HOLDERS = ("td", "th", "button", "object", "caption")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "skip", "heads", "points", "chars", "linked", "keep", "bonus")
+    __slots__ = ("tag", "parent", "skip", "heads", "points", "chars", "linked", "prose", "keep", "bonus", "at")
 
-    def __init__(self, tag, parent, skip, heads, bonus=0.0):
+    def __init__(self, tag, parent, skip, heads, bonus=0.0, at=-1):
         self.tag, self.parent, self.skip, self.heads = tag, parent, skip, heads
-        self.points, self.chars, self.linked, self.keep = 0.0, 0, 0, False
-        self.bonus = bonus
+        self.points, self.chars, self.linked, self.prose, self.keep = 0.0, 0, 0, 0, False
+        self.bonus, self.at = bonus, at
 
     def score(self) -> float:
         if not self.points:
@@ -87,9 +89,14 @@ class _Node:
 
 
 class _Page:
-    """Blocks of text in page order, each with the block element that holds it."""
+    """Blocks of text in page order, each with the block element that holds it.
 
-    def __init__(self, source: str):
+    Elements that look like noise are skipped, but for those that start at the places in ``kept``.
+    Without ``kept`` none is: each has a node that holds the place.
+    """
+
+    def __init__(self, source: str, kept: frozenset[int] | None = None):
+        self._kept = kept
         self.root = _Node("html", None, False, False)
         self.nodes, self.blocks = [self.root], []
         self._open: list[tuple[str, _Node]] = []
@@ -116,7 +123,7 @@ class _Page:
                 end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
                 at = end.end() if end else len(source)
                 continue
-            self._start(name, attributes or "")
+            self._start(name, attributes or "", found.start())
         self._flush()
 
     @property
@@ -146,7 +153,7 @@ class _Page:
 
     def _holder(self) -> _Node:
         node = self._node
-        while node.tag not in _BLOCK and node.parent is not None:
+        while node.tag not in _BLOCK and node.at < 0 and node.parent is not None:
             node = node.parent
         return node
 
@@ -164,7 +171,7 @@ class _Page:
         self._links -= sum(tag == "a" for tag, _ in self._open[i:])
         del self._open[i:]
 
-    def _start(self, name: str, attributes: str) -> None:
+    def _start(self, name: str, attributes: str, at: int) -> None:
         block = name in _BLOCK
         if name in _VOID:
             if name == "hr":
@@ -182,56 +189,62 @@ class _Page:
             if name in _CLOSES:
                 self._pop_to(*_CLOSES[name])
         parent = self._node
-        skip, heads, bonus = parent.skip, parent.heads, 0.0
+        skip, heads, bonus, marked = parent.skip, parent.heads, 0.0, False
         if not skip:
-            skip, header, bonus = self._judge(name, attributes, block)
+            skip, noise, header, bonus = self._judge(name, attributes, block)
             if header:
                 inside = any(tag in ("article", "main") for tag, _ in self._open)
-                heads, skip = heads or inside, skip or not inside
+                heads, noise = heads or inside, noise or not inside
+            marked = noise and not skip and self._kept is None
+            skip = skip or noise and self._kept is not None and at not in self._kept
+            if marked:
+                self._flush()
         if name == "a":
             self._links += 1
-        if block or skip != parent.skip:
+        if block or marked or skip != parent.skip:
             if skip != parent.skip and not block:
                 node = _Node(name, parent, skip, heads)
             else:
-                node = _Node(name, self._block_parent(parent), skip, heads, bonus)
+                node = _Node(name, self._block_parent(parent), skip, heads, bonus, at if marked else -1)
                 self.nodes.append(node)
             self._open.append((name, node))
         else:
             self._open.append((name, parent))
 
     def _block_parent(self, node: _Node) -> _Node:
-        while node.tag not in _BLOCK and node.parent is not None:
+        while node.tag not in _BLOCK and node.at < 0 and node.parent is not None:
             node = node.parent
         return node
 
-    def _judge(self, name: str, attributes: str, block: bool) -> tuple[bool, bool, float]:
-        """Whether an element is noise, whether it is a header, and its weight."""
+    def _judge(self, name: str, attributes: str, block: bool) -> tuple[bool, bool, bool, float]:
+        """Whether an element is not shown, whether it looks like noise, is a header, its weight."""
         bonus = _WEIGHTS.get(name, 0.0)
-        if name in _NOISE_TAGS:
-            return True, False, 0.0
-        header = name == "header"
+        if name in _NO_TEXT_TAGS:
+            return True, False, False, 0.0
+        noise, header = name in _NOISE_TAGS, name == "header"
         if not attributes or name in ("html", "body", "main"):
-            return False, header, bonus
+            return False, noise, header, bonus
         names: list[str] = []
         for key, a, b, c in _ATTR.findall(attributes):
             key, value = key.lower(), (a or b or c).lower()
             if key in ("class", "id"):
                 names += _NAME.split(value.strip())
-            elif key == "role" and value in _NOISE_ROLES or key == "hidden" and value != "until-found":
-                return True, False, 0.0
+            elif key == "role" and value in _NOISE_ROLES:
+                noise = True
+            elif key == "hidden" and value != "until-found":
+                return True, False, False, 0.0
             elif key == "aria-hidden" and value == "true":
-                return True, False, 0.0
+                return True, False, False, 0.0
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True, False, 0.0
+                return True, False, False, 0.0
             elif key == "itemprop" and value == "articlebody":
                 bonus += 25.0
         found = set(names)
-        if found & _NOISE_NAMES:
-            return True, False, 0.0
+        if noise or found & _NOISE_NAMES:
+            return False, True, False, bonus + (15.0 if found & _GOOD_NAMES else 0.0)
         if block and found & _HEADER_NAMES and name not in ("article", *_HEADINGS):
             header = True
-        return False, header, bonus + (15.0 if found & _GOOD_NAMES else 0.0)
+        return False, False, header, bonus + (15.0 if found & _GOOD_NAMES else 0.0)
 
     def _end(self, name: str) -> None:
         if name == "br":
@@ -241,7 +254,7 @@ class _Page:
         for i in range(len(self._open) - 1, -1, -1):
             tag = self._open[i][0]
             if tag == name:
-                if name in _BLOCK:
+                if name in _BLOCK or self._open[i][1].at >= 0:
                     self._cut(i)
                 else:
                     if name == "a":
@@ -259,6 +272,7 @@ def _score(page: _Page) -> None:
         node.linked += linked
         if len(text) < LEAST_CHARS or node.tag in _HEADINGS:
             continue
+        node.prose += len(text) - linked
         points = 1 + len(_COMMA.findall(text)) + min(len(text) // 100, 3)
         points *= 1 - linked / len(text)
         up = node.parent if node.tag in _PARAGRAPHS and node.parent is not None else node
@@ -271,12 +285,43 @@ def _score(page: _Page) -> None:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
+            node.parent.prose += node.prose
+
+
+def _best(page: _Page) -> _Node | None:
+    scored = [x for x in page.nodes if not x.skip and x.points > 0 and x.tag not in _PARAGRAPHS]
+    return max(scored, key=_Node.score, default=None)
+
+
+def _not_noise(page: _Page) -> frozenset[int]:
+    """Where elements start that look like noise, yet hold the article.
+
+    ``page`` skips none. An element stays that holds a main, or most of the page's paragraph text;
+    one that holds the best container or the longest article stays if it has more such text than
+    stands outside of all noise.
+    """
+    outside, noisy = page.root.prose, set()
+    for node in page.nodes[1:]:
+        if id(node.parent) in noisy:
+            noisy.add(id(node))
+        elif node.at >= 0:
+            noisy.add(id(node))
+            outside -= node.prose
+    kept = {x.at for x in page.nodes if x.at >= 0 and 2 * x.prose > page.root.prose}
+    articles = [x for x in page.nodes if x.tag == "article"]
+    wanted = [(x, 0) for x in page.nodes if x.tag == "main" and x.prose]
+    wanted += [(x, outside) for x in (_best(page), max(articles, key=lambda x: x.prose, default=None)) if x]
+    for node, least in wanted:
+        while node is not None:
+            if node.at >= 0 and node.prose > least:
+                kept.add(node.at)
+            node = node.parent
+    return frozenset(kept)
 
 
 def _choose(page: _Page) -> None:
     """Mark the best container, lifted to the article around it, and its good siblings."""
-    scored = [x for x in page.nodes if not x.skip and x.points > 0 and x.tag not in _PARAGRAPHS]
-    best = max(scored, key=_Node.score, default=None)
+    best = _best(page)
     if best is None:
         around = [x for x in page.nodes if x.tag in ("article", "main") and not x.skip and x.chars]
         best = max(around, key=lambda x: x.chars - x.linked, default=page.root)
@@ -302,6 +347,9 @@ def main_text(source: str | None) -> str:
         return ""
     page = _Page(source)
     _score(page)
+    if any(x.at >= 0 for x in page.nodes):
+        page = _Page(source, _not_noise(page))
+        _score(page)
     _choose(page)
     menus = set()
     for node in page.nodes:

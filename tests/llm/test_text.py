@@ -48,6 +48,21 @@ def test_sections_of_one_article_stay_together():
     assert main_text(page).count("\n") == 9
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<div class="content-sidebar-wrap">{}</div>', '<div class="layout has-sidebar"><main>{}</main></div>',
+        '<article class="post no-comments">{}</article>', "<form runat=server>{}</form>",
+        '<x-app class="no-menu"><div>{}</div></x-app>', '<div class="header-wrap">{}</div>',
+    ],
+)
+def test_wrappers_with_noise_names_keep_the_article(wrapper):
+    parts = [f"Paragraph {i} of the article, which is long enough, with commas." for i in range(4)]
+    inside = "".join(f"<p>{x}</p>" for x in parts) + '<div class="comments"><p>A comment, which is not the article.</p></div>'
+    page = f"<body><nav><p>A menu, with text that is long enough to score.</p></nav>{wrapper.format(inside)}</body>"
+    assert main_text(page).split("\n") == parts
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<a b='", "</p></div>", "<!--", "&#xD800;&#0;&bad;", "<div>" * 500])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(main_text(page), str)
