@@ -15,7 +15,7 @@ from posttide.llm.common import small_batches
 LEAST_CHARS, LEVELS = 25, 5
 # A sibling of the best container is kept from this share of its score, and this score, on.
 SIBLING_SHARE, SIBLING_SCORE = 0.2, 10.0
-# Share of link text beyond which a block or list is a menu.
+# Share of link text beyond which a list or table is a menu.
 MOST_LINKS = 0.5
 
 _TAG = re.compile(
@@ -362,8 +362,8 @@ def main_text(source: str | None) -> str:
                 menus.add(id(node))
     return "\n".join(
         text
-        for node, text, linked in page.blocks
-        if node.keep and id(node) not in menus and not (linked > MOST_LINKS * len(text) and node.tag != "p")
+        for node, text, _ in page.blocks
+        if node.keep and id(node) not in menus
     )
 
 

@@ -63,6 +63,18 @@ def test_wrappers_with_noise_names_keep_the_article(wrapper):
     assert main_text(page).split("\n") == parts
 
 
+def test_linked_blocks_of_the_article_stay():
+    page = """<article><h2><a href="#s">Title</a></h2><p>First paragraph, long enough, with words, and commas.</p>
+    <ul><li><a href="x">Linked item</a></li><li>A longer item, which has no link in it</li></ul>
+    <table><tr><td><a href="y">Cell</a></td><td>Another cell, of plain text</td></tr></table>
+    <blockquote><a href="z">Linked quote</a></blockquote><div><a href="w">Linked line</a></div>
+    <ul><li><a href="1">One</a></li><li><a href="2">Two</a></li></ul></article>"""
+    assert main_text(page).split("\n") == [
+        "Title", "First paragraph, long enough, with words, and commas.", "Linked item",
+        "A longer item, which has no link in it", "Cell", "Another cell, of plain text", "Linked quote", "Linked line",
+    ]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<a b='", "</p></div>", "<!--", "&#xD800;&#0;&bad;", "<div>" * 500])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(main_text(page), str)
