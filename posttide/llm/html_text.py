@@ -26,6 +26,7 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"([A-Za-z][\w-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _COMMA = re.compile("[,،，、;]")
+_SENTENCE_END = re.compile("[.!?\u2026\u3002\uff01\uff1f\u061f][\"'\u201d\u2019\u00bb)]*$")
 _NAME = re.compile(r"[\s_-]+")
 
 _RAW = frozenset("script style title textarea xmp noembed noframes".split())
@@ -331,12 +332,19 @@ def _choose(page: _Page) -> None:
         if top.tag in ("article", "main"):
             best, lifted = top, True
     best.keep = True
+    # Beside an article that no main or article holds, short paragraphs must end a sentence.
+    strict, up = lifted, best.parent
+    while strict and up is not None:
+        strict, up = up.tag not in ("article", "main"), up.parent
+    ends = {id(node) for node, text, _ in page.blocks if strict and _SENTENCE_END.search(text[-4:])}
     limit = max(SIBLING_SCORE, SIBLING_SHARE * best.score())
     for node in page.nodes:
-        if lifted or node.parent is not best.parent or node is best or node.skip or not node.chars:
+        if node.parent is not best.parent or node is best or node.skip or not node.chars:
             continue
         share = node.linked / node.chars
-        plain = node.tag == "p" and (share < 0.25 if node.chars > 80 else not share)
+        plain = node.tag == "p" and (
+            share < 0.25 if node.chars > 80 else not share and (not strict or id(node) in ends)
+        )
         heading = node.tag in _HEADINGS and not share
         node.keep = node.score() >= limit or plain or heading
 

@@ -75,6 +75,14 @@ def test_linked_blocks_of_the_article_stay():
     ]
 
 
+@pytest.mark.parametrize("holder", ["main", "div"])
+def test_siblings_of_the_article_stay(holder):
+    parts = [f"Paragraph of part {i}, of some length, with commas, and words." for i in (1, 2)]
+    articles = "".join(f"<article><p>{x}</p></article>" for x in parts)
+    page = f"<{holder}><h1>Title</h1><p>An introduction, before the parts.</p>{articles}<p><a href='x'>More</a></p></{holder}>"
+    assert main_text(page).split("\n") == ["Title", "An introduction, before the parts.", *parts]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<a b='", "</p></div>", "<!--", "&#xD800;&#0;&bad;", "<div>" * 500])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(main_text(page), str)
