@@ -34,10 +34,10 @@ def _folder(spark, name: str) -> str:
 
 
 def _landed(spark, sf_dir) -> DataFrame:
-    """A post for each document, and a later copy of every tenth with other numbers."""
+    """A post for each document, and a later copy of some, inside the window too, with other numbers."""
     docs = v.table(spark, sf_dir, "documents").select("doc_id", "text")
     both = docs.withColumn("copy", F.lit(0)).unionByName(
-        docs.filter("doc_id % 10 = 0").withColumn("copy", F.lit(1))
+        docs.filter("doc_id % 10 IN (0, 3, 5)").withColumn("copy", F.lit(1))
     )
     day = F.expr("timestamp'2026-05-01 12:00:00' + make_dt_interval(cast(doc_id % 10 AS int))")
     values = {
