@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from posttide.llm import html_text, mixing, ngram_join, packing, quality, search, sharding, suffixes, token_files, toxicity
+from posttide.llm import (
+    html_text,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    periodic,
+    quality,
+    search,
+    sharding,
+    suffixes,
+    token_files,
+    toxicity,
+    whitening,
+)
 from posttide.llm.common import scratch, table
 
 
@@ -65,6 +79,18 @@ def _ngram_join(spark, sf_dir):
     return ngram_join.link(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def _whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def _periodic(spark, sf_dir):
+    return periodic.find_runs(table(spark, sf_dir, "documents", "doc_id", "text")).drop("collapsed")
+
+
+def _line_dedup(spark, sf_dir):
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 QUERIES = {
     "op1_html_text": _html_text,
     "op2_packing": _packing,
@@ -76,6 +102,9 @@ QUERIES = {
     "op8_quality": _quality,
     "op9_suffixes": _suffixes,
     "op10_sharding": _sharding,
+    "op11_whitening": _whitening,
+    "op12_periodic_runs": _periodic,
+    "op13_line_dedup": _line_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -98,5 +127,27 @@ ranked AS (
   FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+    "op13_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no
+  FROM documents
+),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+),
+owners AS (
+  SELECT key, min(doc_id) AS low FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)
+),
+judged AS (
+  SELECT k.doc_id, k.line, k.line_no, o.low IS NOT NULL AND o.low <> k.doc_id AS gone
+  FROM keyed k LEFT JOIN owners o ON k.key = o.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
 """,
 }
