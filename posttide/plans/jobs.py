@@ -61,7 +61,7 @@ def ingest(
         posts = cut_lineage(chosen.withColumn("ordinal", F.monotonically_increasing_id()))
         analyzed = cut_lineage(analyze(posts, scorer))
         collected = posts.count()
-        stored = store.upsert_tweets(analyzed)
+        stored = store.upsert_tweets(analyzed, f"run-{run_id}")
         store.link_tweets(run_id, analyzed.select("tweet_id"))
         spark, at = store.spark, utc_now()
         raw = processed = None

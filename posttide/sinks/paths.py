@@ -25,10 +25,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def make(spark: SparkSession, folder: str) -> None:
-    """Create a folder and those above it."""
-    fs, hadoop_path = _fs(spark, folder)
-    fs.mkdirs(hadoop_path)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    fs, hadoop_path = _fs(spark, path)
+    fs.delete(hadoop_path, True)
 
 
 def entries(spark: SparkSession, folder: str) -> list[Entry]:
@@ -47,17 +47,6 @@ def entries(spark: SparkSession, folder: str) -> list[Entry]:
     ]
 
 
-def finished_numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Numbers of the ``<prefix>=<n>`` subfolders whose write has finished."""
-    return sorted(
-        int(entry.name.split("=", 1)[1])
-        for entry in entries(spark, folder)
-        if entry.is_dir
-        and entry.name.startswith(f"{prefix}=")
-        and exists(spark, f"{entry.path}/_SUCCESS")
-    )
-
-
 def resolve(spark: SparkSession, path: str) -> str:
     """Fully qualified form of ``path``."""
     fs, hadoop_path = _fs(spark, path)

@@ -1,29 +1,54 @@
-"""Stored posts, links and runs on plain parquet.
-
-Posts are a folded snapshot plus the batches written since. A batch is written to
-a folder of its own, named by its number, so writing it again after a lost
-executor or a repeated micro-batch replaces it; a folder counts once its
-``_SUCCESS`` mark exists. ``compact`` folds the batches into the next snapshot.
-One writer at a time is assumed.
+"""Stored posts, links and runs as Parquet tables.
+
+``changes`` holds every upsert as rows, partitioned by who wrote them and by the writer's batch; a
+repeated micro-batch overwrites its own partition and no other. ``posts`` holds the current state,
+partitioned by a hash of the key; ``compact`` merges changes into the buckets they touch and writes
+those anew, under the next fold number. ``folds`` says, in one file a fold, which buckets it wrote and
+which batches it took in: a fold counts once that file is there, so a crash at any point loses
+nothing and repeats nothing. Any number of streams and jobs may write; one compacts at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posttide import schemas
 from posttide.operators import state
+from posttide.session import cut_lineage, lookup_side
 from posttide.sinks import paths
 
+# Buckets of the posts of a new store; a store keeps the number it began with.
+BUCKETS = 64
+
+_BATCH = ["writer", "batch"]
+_ORDER = ["stored_at", "writer", "batch", "ordinal"]
+_CHANGES = T.StructType(
+    [
+        *schemas.TWEETS.fields,
+        T.StructField("ordinal", T.LongType()),
+        T.StructField("stored_at", T.TimestampType()),
+        T.StructField("writer", T.StringType()),
+        T.StructField("batch", T.LongType()),
+    ]
+)
+_FOLDS = "fold long, buckets int, bucket int, writer string, batch long"
+
 
 def utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(microsecond=0)
 
 
+def writer_name(stream: str) -> str:
+    """The name that a stream, known by its checkpoint, writes under."""
+    return hashlib.sha256(stream.encode()).hexdigest()[:24]
+
+
 def storage_row(analyzed: DataFrame, updated_at: datetime) -> DataFrame:
     """Analyzed posts in the stored schema (times cut to seconds), plus ``ordinal``."""
     stamped = analyzed.withColumns(
@@ -33,99 +58,136 @@ def storage_row(analyzed: DataFrame, updated_at: datetime) -> DataFrame:
         }
     )
     return stamped.select(
-        *[F.col(f.name).cast(f.dataType) for f in schemas.TWEETS.fields], "ordinal"
+        *[F.col(f.name).cast(f.dataType) for f in schemas.TWEETS.fields],
+        F.col("ordinal").cast("long").alias("ordinal"),
     )
 
 
 class PostStore:
     """Read and write the three stored tables below ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self._new_buckets = buckets
 
     # Posts
 
-    def _snapshots(self) -> str:
-        return f"{self.root}/tweets/snapshot"
-
-    def _batches(self) -> str:
-        return f"{self.root}/tweets/batch"
-
-    def _snapshot_number(self) -> int | None:
-        done = paths.finished_numbers(self.spark, self._snapshots(), "n")
-        return done[-1] if done else None
-
-    def _pending(self, folded: int | None) -> list[int]:
-        done = paths.finished_numbers(self.spark, self._batches(), "n")
-        return [n for n in done if folded is None or n > folded]
+    def _changes_path(self) -> str:
+        return f"{self.root}/changes"
+
+    def _posts_path(self, fold: int, bucket: int | None = None) -> str:
+        folder = f"{self.root}/posts/fold={fold}"
+        return folder if bucket is None else f"{folder}/bucket={bucket}"
+
+    def _folds(self) -> DataFrame:
+        path = f"{self.root}/folds"
+        if not paths.exists(self.spark, path):
+            return self.spark.createDataFrame([], _FOLDS)
+        return self.spark.read.schema(_FOLDS).parquet(path)
+
+    def _newest_folds(self) -> tuple[dict[int, int], int, int]:
+        """The fold that wrote each bucket last, the number of buckets, and the last fold."""
+        written = self._folds().filter("bucket IS NOT NULL").groupBy("bucket", "buckets")
+        rows = written.agg(F.max("fold").alias("fold")).collect()  # one row a bucket
+        buckets = rows[0]["buckets"] if rows else self._new_buckets
+        newest = {r["bucket"]: r["fold"] for r in rows}
+        return newest, buckets, max(newest.values(), default=0)
+
+    def _posts(self, newest: dict[int, int]) -> DataFrame:
+        """The merged rows of these buckets."""
+        if not newest:
+            return self.spark.createDataFrame([], schemas.TWEETS)
+        folders = [self._posts_path(fold, bucket) for bucket, fold in newest.items()]
+        return state.conform(self.spark.read.parquet(*folders), "tweets").select(*schemas.TWEETS.names)
+
+    def _pending(self) -> DataFrame | None:
+        """Changes that no fold has taken in; None when there never was one."""
+        if not paths.exists(self.spark, self._changes_path()):
+            return None
+        changes = self.spark.read.schema(_CHANGES).parquet(self._changes_path())
+        taken = self._folds().filter("writer IS NOT NULL").select(*_BATCH)
+        return changes.join(lookup_side(taken), _BATCH, "left_anti")
 
     def tweets(self) -> DataFrame:
         """Current state: one row per ``tweet_id``."""
-        folded = self._snapshot_number()
-        if folded is None:
-            base = self.spark.createDataFrame([], schemas.TWEETS)
-        else:
-            base = state.conform(
-                self.spark.read.parquet(f"{self._snapshots()}/n={folded}"), "tweets"
-            ).select(*schemas.TWEETS.names)
-        pending = self._pending(folded)
-        if not pending:
+        base, pending = self._posts(self._newest_folds()[0]), self._pending()
+        if pending is None:
             return base
-        folders = [f"{self._batches()}/n={n}" for n in pending]
-        changes = state.conform(
-            self.spark.read.option("basePath", self._batches()).parquet(*folders), "tweets"
-        )
-        if folded is None:
-            fresh = state.last_per_key(changes, "tweet_id", ["n", "ordinal"])
-            return fresh.select(*schemas.TWEETS.names)
-        return state.upsert(base, changes.withColumn("ordinal", F.struct("n", "ordinal")))
-
-    def _claims(self) -> str:
-        return f"{self.root}/tweets/claims"
-
-    def _claimed(self) -> list[tuple[str, int, int]]:
-        """(stream, its batch, number) of every number that a stream was given."""
-        return [
-            (e.name.rsplit("-", 2)[0], int(e.name.rsplit("-", 2)[1]), int(e.name.rsplit("-", 2)[2]))
-            for e in paths.entries(self.spark, self._claims())
-        ]
-
-    def next_batch(self) -> int:
-        done = paths.finished_numbers(self.spark, self._batches(), "n")
-        claimed = [number for *_, number in self._claimed()]
-        return max([*done, *claimed, self._snapshot_number() or 0]) + 1
-
-    def claim_batch(self, stream: str, batch_id: int) -> int | None:
-        """The number of a stream's batch: the one it was given before, or a new one.
-
-        A replayed batch finds its own folder again and no one else's. None says that a snapshot
-        holds the batch already.
+        return state.upsert(base, pending.withColumn("ordinal", F.struct(*_ORDER)))
+
+    def _first_stored(self, writer: str, batch: int) -> datetime | None:
+        """When a batch that is there, whole or in part, was stored first."""
+        path = f"{self._changes_path()}/writer={writer}/batch={batch}"
+        if not paths.exists(self.spark, path):
+            return None
+        rows = self.spark.read.schema(_CHANGES).parquet(path)
+        return rows.agg(F.min("stored_at")).first()[0]
+
+    def upsert_tweets(self, analyzed: DataFrame, writer: str | None = None, batch: int = 0) -> int:
+        """Store analyzed posts; returns how many were given, copies included.
+
+        A batch given again, by the same writer under the same number, takes the place it had
+        among other writers' batches; one that is merged already is not written again.
         """
-        name = hashlib.sha256(stream.encode()).hexdigest()[:24]
-        for known, batch, number in self._claimed():
-            if (known, batch) == (name, batch_id):
-                folded = self._snapshot_number()
-                return None if folded is not None and number <= folded else number
-        number = self.next_batch()
-        paths.make(self.spark, f"{self._claims()}/{name}-{batch_id}-{number}")
-        return number
-
-    def upsert_tweets(self, analyzed: DataFrame, batch: int | None = None) -> int:
-        """Store analyzed posts; returns how many were given, copies included."""
-        number = self.next_batch() if batch is None else batch
-        target = f"{self._batches()}/n={number}"
-        rows = storage_row(analyzed, utc_now())
-        rows.write.mode("overwrite").parquet(target)
-        given = self.spark.read.parquet(target).count()
-        return given
+        writer = uuid.uuid4().hex if writer is None else writer
+        same = (F.col("writer") == writer) & (F.col("batch") == batch)
+        if not self._folds().filter(same).isEmpty():
+            return analyzed.count()
+        at = self._first_stored(writer, batch) or datetime.now(timezone.utc)
+        rows = storage_row(analyzed, utc_now()).withColumns(
+            {
+                "stored_at": F.lit(at).cast("timestamp"),
+                "writer": F.lit(writer),
+                "batch": F.lit(batch).cast("long"),
+            }
+        )
+        placed = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        placed.partitionBy(*_BATCH).parquet(self._changes_path())
+        path = f"{self._changes_path()}/writer={writer}/batch={batch}"
+        return self.spark.read.schema(_CHANGES).parquet(path).count() if paths.exists(self.spark, path) else 0
 
     def compact(self) -> None:
-        """Fold the batches into a new snapshot."""
-        pending = self._pending(self._snapshot_number())
-        if pending:
-            target = f"{self._snapshots()}/n={pending[-1]}"
-            self.tweets().write.mode("overwrite").parquet(target)
+        """Merge pending changes into the buckets they touch; other buckets' files stay.
+
+        Rows lie in the order of their time inside a bucket, so a filter on ``created_at`` skips
+        most of its row groups.
+        """
+        pending = self._pending()
+        if pending is None:
+            return
+        batches = cut_lineage(pending.select(*_BATCH).distinct())
+        if batches.isEmpty():
+            return
+        newest, buckets, last = self._newest_folds()
+        bucket = F.pmod(F.xxhash64("tweet_id"), F.lit(buckets)).cast("int")
+        rows = pending.join(lookup_side(batches), _BATCH, "left_semi")
+        touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # at most ``buckets``
+        base = self._posts({b: newest[b] for b in touched if b in newest})
+        merged = state.upsert(base, rows.withColumn("ordinal", F.struct(*_ORDER)))
+        ordered = merged.withColumn("bucket", bucket).repartitionByRange("bucket", "created_at")
+        fold = last + 1
+        ordered.sortWithinPartitions("bucket", "created_at").write.mode("overwrite").partitionBy(
+            "bucket"
+        ).parquet(self._posts_path(fold))
+        wrote = self.spark.createDataFrame([(fold, buckets, b, None, None) for b in touched], _FOLDS)
+        took = batches.select(
+            F.lit(fold).cast("long").alias("fold"), F.lit(buckets).alias("buckets"),
+            F.lit(None).cast("int").alias("bucket"), *_BATCH,
+        )
+        wrote.unionByName(took).coalesce(1).write.mode("append").parquet(f"{self.root}/folds")
+
+    def vacuum(self) -> None:
+        """Remove what compactions have replaced. Frames read before must not be used after."""
+        newest, _, last = self._newest_folds()
+        for fold in range(1, last + 1):
+            for entry in paths.entries(self.spark, self._posts_path(fold)):
+                name, _, bucket = entry.name.partition("=")
+                if name == "bucket" and newest.get(int(bucket)) != fold:
+                    paths.remove(self.spark, entry.path)
+        taken = self._folds().filter("writer IS NOT NULL").select(*_BATCH)
+        for row in taken.toLocalIterator():
+            paths.remove(self.spark, f"{self._changes_path()}/writer={row['writer']}/batch={row['batch']}")
 
     # Links, one folder per run
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from posttide import schemas
 from posttide.operators.series import check_granularity, label_counts
 from posttide.plans.scorers import Scorer, analyze
-from posttide.sinks.store import PostStore
+from posttide.sinks.store import PostStore, writer_name
 from posttide.sources.posts import posts_from_scraped
 
 _WIDTHS = {"hourly": "1 hour", "daily": "1 day"}
@@ -25,16 +25,15 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Upsert and link each micro-batch, then stop when all landed files are read.
 
-    A stream is known by its checkpoint. Each of its micro-batches claims a batch number of the
-    store and keeps it, so replaying one replaces its own folder, and neither another stream's nor
-    a job's. The store takes no other writer meanwhile.
+    A stream is known by its checkpoint and writes under that name and the micro-batch's number, so
+    one that is replayed replaces its own rows and nobody else's. Other streams, jobs and a
+    compaction may use the store meanwhile.
     """
+    writer = writer_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        number = store.claim_batch(checkpoint, batch_id)
         numbered = batch.withColumn("ordinal", F.monotonically_increasing_id()).persist()
-        if number is not None:
-            store.upsert_tweets(analyze(numbered, scorer), batch=number)
+        store.upsert_tweets(analyze(numbered, scorer), writer, batch_id)
         store.link_tweets(run_id, numbered.select("tweet_id"))
         numbered.unpersist()
 

@@ -46,26 +46,72 @@ def stored(spark, rows, **kw):
     return analyze(numbered, fixed_scorer(**kw))
 
 
+def likes(store):
+    return {r["tweet_id"]: r["like_count"] for r in store.tweets().collect()}
+
+
 def test_upsert_last_wins_and_is_idempotent(spark, tmp_path):
     store = PostStore(spark, str(tmp_path))
     assert store.tweets().count() == 0
+    store.compact()
     first = stored(spark, [("a", "one", 1), ("b", "two", 2), ("a", "three", 3)])
     assert store.upsert_tweets(first) == 3
-    now = {r["tweet_id"]: r["like_count"] for r in store.tweets().collect()}
-    assert now == {"a": 3, "b": 2}
+    assert likes(store) == {"a": 3, "b": 2}
     second = stored(spark, [("b", "new", 9), ("c", "see", 4)], label="negative")
-    assert store.upsert_tweets(second) == 2
-    assert store.upsert_tweets(second, batch=2) == 2
-    for step in range(2):
+    assert store.upsert_tweets(second, "w", 2) == 2
+    assert store.upsert_tweets(second, "w", 2) == 2
+    assert store.upsert_tweets(second.limit(0), "w", 3) == 0
+    for step in range(3):
         rows = {r["tweet_id"]: (r["like_count"], r["sentiment_label"]) for r in store.tweets().collect()}
         assert rows == {"a": (3, "positive"), "b": (9, "negative"), "c": (4, "negative")}, step
-        store.compact()
-    assert store.next_batch() == 3
+        store.vacuum() if step else store.compact()
     assert store.upsert_tweets(stored(spark, [("a", "last", 7)])) == 1
-    assert {r["tweet_id"]: r["like_count"] for r in store.tweets().collect()} == {"a": 7, "b": 9, "c": 4}
+    assert likes(store) == {"a": 7, "b": 9, "c": 4}
+    store.compact()
+    store.vacuum()
+    assert likes(store) == {"a": 7, "b": 9, "c": 4}
     assert store.tweets().schema.names == schemas.TWEETS.names
 
 
+def test_replayed_batches_keep_their_place(spark, tmp_path):
+    store = PostStore(spark, str(tmp_path))
+    store.upsert_tweets(stored(spark, [("a", "x", 1), ("b", "x", 1)]), "one", 0)
+    store.upsert_tweets(stored(spark, [("a", "x", 2)]), "two", 0)
+    store.upsert_tweets(stored(spark, [("a", "x", 1), ("b", "x", 1)]), "one", 0)
+    assert likes(store) == {"a": 2, "b": 1}
+    store.compact()
+    store.upsert_tweets(stored(spark, [("b", "x", 5)]), "two", 1)
+    assert store.upsert_tweets(stored(spark, [("a", "x", 1), ("b", "x", 1)]), "one", 0) == 2
+    assert likes(store) == {"a": 2, "b": 5}
+
+
+def test_a_fold_counts_when_it_is_finished(spark, tmp_path):
+    store = PostStore(spark, str(tmp_path))
+    store.upsert_tweets(stored(spark, [("a", "x", 1), ("b", "x", 1)]), "one", 0)
+    store.compact()
+    store.upsert_tweets(stored(spark, [("a", "x", 2)]), "one", 1)
+    # What a compaction leaves that died before its entry in ``folds``.
+    store.tweets().limit(0).write.parquet(store._posts_path(2, 1))
+    assert likes(store) == {"a": 2, "b": 1}
+    store.compact()
+    assert likes(store) == {"a": 2, "b": 1}
+
+
+def test_compaction_rewrites_touched_buckets_only(spark, tmp_path):
+    store = PostStore(spark, str(tmp_path), buckets=8)
+    many = [(str(i), "x", 1) for i in range(100)]
+    store.upsert_tweets(stored(spark, many))
+    store.compact()
+    before = store._newest_folds()[0]
+    assert len(before) == 8 and set(before.values()) == {1}
+    store.upsert_tweets(stored(spark, [("7", "x", 2)]))
+    store.compact()
+    after = store._newest_folds()[0]
+    changed = [b for b in after if after[b] != before[b]]
+    assert len(changed) == 1 and sum(likes(store).values()) == 101
+    assert PostStore(spark, str(tmp_path), buckets=3)._newest_folds()[1] == 8
+
+
 def test_links_keep_first_time(spark, tmp_path):
     store = PostStore(spark, str(tmp_path))
     ids = spark.createDataFrame([("a",), ("b",), ("a",)], "tweet_id string")

@@ -3,6 +3,8 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from posttide import schemas
@@ -61,10 +63,32 @@ def test_streams_and_runs_share_a_store(spark, tmp_path):
     got = {r["tweet_id"]: r["sentiment_label"] for r in store.tweets().collect()}
     assert set(got) == {"a1", "a2", "a3", "b1", "c1"} and got["a1"] == "negative"
     assert store.links().join(store.tweets(), "tweet_id", "left_anti").count() == 0
-    number = store.claim_batch(str(tmp_path / "cp-three"), 0)
-    assert store.claim_batch(str(tmp_path / "cp-three"), 0) == number
+
+
+def test_a_crash_between_two_streams_loses_nothing(spark, tmp_path):
+    """A stream dies while it writes, another one runs, the store is compacted, the first comes back."""
+    scorer = lexicon_scorer(seed_lexicon(spark))
+
+    class Dying(PostStore):
+        def upsert_tweets(self, analyzed, writer=None, batch=0):
+            raise OSError("executor host is gone")
+
+    def run(name, run_id, store):
+        found = streams.scraped_stream(spark, str(tmp_path / name))
+        streams.ingest_stream(found, store, scorer, run_id, str(tmp_path / f"cp-{name}")).awaitTermination()
+
+    store = PostStore(spark, str(tmp_path / "store"))
+    land(tmp_path / "one", "1.json", [("a1", 1, "good")])
+    with pytest.raises(StreamingQueryException):
+        run("one", 1, Dying(spark, str(tmp_path / "store")))
+    land(tmp_path / "two", "1.json", [("b1", 1, "good")])
+    run("two", 2, store)
+    store.compact()
+    run("one", 1, store)
+    assert {r["tweet_id"] for r in store.tweets().collect()} == {"a1", "b1"}
+    assert store.links().join(store.tweets(), "tweet_id", "left_anti").count() == 0
     store.compact()
-    assert store.claim_batch(str(tmp_path / "cp-three"), 0) is None
+    assert {r["tweet_id"] for r in store.tweets().collect()} == {"a1", "b1"}
 
 
 def test_series_stream_equals_batch(spark, tmp_path):
