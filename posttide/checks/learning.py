@@ -32,8 +32,8 @@ def _lengths(spark, sf_dir):
     """Terms, occurrences and vector length of every document, per block."""
     counts = written(_counts(spark, sf_dir, "documents", ["doc_id"]))
     n = v.table(spark, sf_dir, "documents").count()
-    known = ft.idf_table(counts, n).select("block", "term", "idf")
-    weighted = counts.join(known, ["block", "term"]).withColumn("w", ft.raw_weight())
+    known = written(ft.idf_table(counts, n))
+    weighted = ft.with_terms(counts, known, known.count(), counts.count()).withColumn("w", ft.raw_weight())
     return finish(
         weighted.groupBy("doc_key", "block").agg(
             F.count(F.lit(1)).alias("n_terms"),

@@ -6,7 +6,6 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from multiprocessing.pool import ThreadPool
-from uuid import uuid4
 
 import pandas as pd
 from pyspark import inheritable_thread_target
@@ -20,7 +19,7 @@ from posttide.functions.labels import clip
 from posttide.ml import features as ft
 from posttide.ml.ranks import with_position
 from posttide.operators import corpus as co
-from posttide.session import lookup_side, shared_dir
+from posttide.session import lookup_side, working_folder, written
 from posttide.sinks import paths
 
 ARTIFACT_VERSION = 2
@@ -28,7 +27,6 @@ FOLD_SEED = 42
 MAX_FOLDS = 5
 MIN_ROWS_FOR_FOLDS = 6
 PARALLEL_FITS = 10
-TEXTS_PER_FILE = 2_000
 
 # Solver tolerance, of the folds' models and the final one alike.
 TOLERANCE = 1e-4
@@ -123,19 +121,46 @@ def _length(block: str) -> Column:
     return F.sqrt(F.sum(w * w))
 
 
-def _vector_struct(size: int, blocks: tuple[str, ...]) -> Column:
-    """The stored form of a sparse vector, each block divided by its own length."""
-    entries = F.filter("_entries", lambda e: e["block"].isin(*blocks))
-    word, char = (F.col(f"_length_{b}") for b in (ft.WORD_BLOCK, ft.CHAR_BLOCK))
-    return F.struct(
-        F.lit(0).cast("byte").alias("type"),
-        F.lit(size).alias("size"),
-        F.transform(entries, lambda e: e["index"]).alias("indices"),
-        F.transform(
-            entries, lambda e: e["w"] / F.when(e["block"] == ft.WORD_BLOCK, word).otherwise(char)
-        ).alias("values"),
+def _set_vectors(place: int, size: int) -> list[Column]:
+    """The stored sparse vectors of each candidate under the idfs at ``place``, made in the row.
+
+    ``_entries`` are (index, block, tf, idfs); each block is divided by its own length.
+    """
+    kept = F.filter("_entries", lambda e: F.get(e["idfs"], F.lit(place)).isNotNull())
+    weighted = F.transform(
+        kept,
+        lambda e: F.struct(
+            e["index"].alias("index"),
+            e["block"].alias("block"),
+            (ft.damped(e["tf"]) * F.get(e["idfs"], F.lit(place))).alias("w"),
+        ),
     )
 
+    def length(entries: Column, block: str) -> Column:
+        squares = F.transform(F.filter(entries, lambda e: e["block"] == block), lambda e: e["w"] * e["w"])
+        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
+
+    def vector(entries: Column, blocks: tuple[str, ...]) -> Column:
+        mine = F.filter(entries, lambda e: e["block"].isin(*blocks))
+        return F.struct(
+            F.lit(0).cast("byte").alias("type"),
+            F.lit(size).alias("size"),
+            F.transform(mine, lambda e: e["index"]).alias("indices"),
+            F.transform(mine, lambda e: e["w"]).alias("values"),
+        )
+
+    # Divided once and shared by the candidates.
+    lengths = {b: length(weighted, b) for b in (ft.WORD_BLOCK, ft.CHAR_BLOCK)}
+    unit = F.transform(
+        weighted,
+        lambda e: F.struct(
+            e["index"].alias("index"),
+            e["block"].alias("block"),
+            (e["w"] / F.when(e["block"] == ft.WORD_BLOCK, lengths[ft.WORD_BLOCK]).otherwise(lengths[ft.CHAR_BLOCK])).alias("w"),
+        ),
+    )
+    return [vector(unit, c.blocks).alias(c.name) for c in CANDIDATES]
+
 
 @dataclass(frozen=True)
 class TrainingSets:
@@ -176,59 +201,42 @@ def write_vectors(
 ) -> str:
     """Vectors of all texts under the vocabulary of every training set, in one job.
 
-    Folder ``left_out=<f>`` holds all texts with the weights learned without fold
-    ``f``. The structs are read back as ML vectors, so no feature work is repeated
-    by solver iterations and vectors never pass through Python.
+    Folder ``left_out=<f>`` holds all texts with the weights learned without fold ``f``. A term
+    carries its idf in each training set as an array; the terms of a text are gathered once, and all
+    its vectors are made from them in the row. The structs are read back as ML vectors, so no
+    feature work is repeated by solver iterations and vectors never pass through Python.
     """
     weights = []
     for fold in sets.folds:
         n = sets.rows(fold)
         df = F.col("df") if fold == ALL_TEXTS else F.col("df") - F.col(f"_df_{fold}")
-        entry = F.struct(F.lit(fold).alias("left_out"), ft.idf(df, n).alias("idf"))
-        weights.append(F.when(ft.kept_term(F.col("block"), df, n), entry))
-    known = terms.select("block", "term", "index", F.array_compact(F.array(*weights)).alias("_idf"))
-    marker = F.array(
-        *[
-            F.struct(F.lit(fold).alias("left_out"), F.lit(None).cast("double").alias("idf"))
-            for fold in sets.folds
-        ]
-    )
+        weights.append(F.when(ft.kept_term(F.col("block"), df, n), ft.idf(df, n)))
+    known = terms.select("block", "term", "df", "index", F.array(*weights).alias("idfs"))
     keys = ["doc_key", "label", "fold", "weight"]
-    weighted = (
-        counts.join(lookup_side(known, n_terms), ["block", "term"], "left")
-        .select(
-            *keys, "block", "index", "tf",
-            F.inline(F.when(F.col("term").isNull(), marker).otherwise(F.col("_idf"))),
-        )
-        .withColumn("w", ft.raw_weight())
+    entry = F.struct("index", "block", "tf", "idfs")
+    found = ft.with_terms(counts, known, n_terms, counts.count()).select(*keys, entry.alias("_entry"))
+    # The row without a term keeps texts that have none.
+    marked = counts.filter(F.col("term").isNull()).select(*keys, F.lit(None).cast(found.schema["_entry"].dataType).alias("_entry"))
+    texts = found.unionByName(marked).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("_entry"), lambda a, b: a["index"] - b["index"]).alias("_entries")
     )
-    entry = F.when(F.col("index").isNotNull(), F.struct("index", "block", "w"))
-    vectors = (
-        weighted.groupBy(*keys, "left_out")
-        .agg(
-            F.sort_array(F.collect_list(entry)).alias("_entries"),
-            _length(ft.WORD_BLOCK).alias(f"_length_{ft.WORD_BLOCK}"),
-            _length(ft.CHAR_BLOCK).alias(f"_length_{ft.CHAR_BLOCK}"),
-        )
-        .select(
-            "left_out",
-            F.pmod(
-                F.xxhash64("doc_key"), F.lit(sets.rows(ALL_TEXTS) // TEXTS_PER_FILE + 1)
-            ).alias("_part"),
-            (F.col("fold") == F.col("left_out")).alias("held_out"),
-            "label",
-            (F.array_position(F.array(*[F.lit(x) for x in sets.labels]), F.col("label")) - 1)
-            .cast("double")
-            .alias("target"),
-            _weight_in(sets).alias("weight"),
-            *[_vector_struct(size, c.blocks).alias(c.name) for c in CANDIDATES],
-        )
+    ways = [
+        F.struct(F.lit(fold).alias("left_out"), *_set_vectors(i, size)) for i, fold in enumerate(sets.folds)
+    ]
+    vectors = texts.select(
+        *keys, F.inline(F.array(*ways)),
+    ).select(
+        "left_out",
+        (F.col("fold") == F.col("left_out")).alias("held_out"),
+        "label",
+        (F.array_position(F.array(*[F.lit(x) for x in sets.labels]), F.col("label")) - 1)
+        .cast("double")
+        .alias("target"),
+        _weight_in(sets).alias("weight"),
+        *[c.name for c in CANDIDATES],
     )
-    # Few, even files per training set: every solver iteration visits all of them.
-    parts = sets.rows(ALL_TEXTS) // TEXTS_PER_FILE + 1
-    spread = vectors.repartition(parts * len(sets.folds), "left_out", "_part").drop("_part")
-    path = f"{shared_dir(counts.sparkSession)}/vectors-{uuid4().hex}"
-    spread.write.partitionBy("left_out").parquet(path)
+    path = working_folder(counts.sparkSession, "vectors")
+    vectors.write.partitionBy("left_out").parquet(path)
     return path
 
 
@@ -290,7 +298,7 @@ def _fitted(spark: SparkSession, model, terms: DataFrame, sets: TrainingSets, si
     used = terms.filter(ft.kept_term(F.col("block"), F.col("df"), n)).select(
         "block", "term", "index", "df", ft.idf(F.col("df"), n).alias("idf")
     )
-    path = f"{shared_dir(spark)}/model-{uuid4().hex}"
+    path = working_folder(spark, "model")
     used.join(lookup_side(coefficients, size), "index").write.parquet(path)
     return Fitted(spark.read.parquet(path), labels, intercepts)
 
@@ -353,6 +361,7 @@ class SentimentClassifier:
 
     fitted: Fitted
     metadata: dict = field(default_factory=dict)
+    sources: DataFrame | None = None
 
     def predict(self, texts: DataFrame, keys: list[str], text: str = "cleaned_text") -> DataFrame:
         """``keys, label, score, confidence, probabilities`` of every text.
@@ -391,7 +400,7 @@ class SentimentClassifier:
         )
 
     def save(self, path: str) -> str:
-        """Write terms, intercepts and metadata below ``path``."""
+        """Write terms, intercepts, metadata and the relation of sources below ``path``."""
         spark = self.fitted.terms.sparkSession
         self.fitted.terms.write.mode("overwrite").parquet(f"{path}/terms")
         head = [(self.fitted.labels, self.fitted.intercepts)]
@@ -402,6 +411,8 @@ class SentimentClassifier:
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(
             "overwrite"
         ).text(f"{path}/metadata")
+        if self.sources is not None:
+            self.sources.write.mode("overwrite").parquet(f"{path}/sources")
         return path
 
     @classmethod
@@ -412,7 +423,9 @@ class SentimentClassifier:
         ).first()
         terms = spark.read.parquet(f"{path}/terms")
         metadata = load_metadata(spark, path)
-        return cls(Fitted(terms, list(head["labels"]), list(head["intercepts"])), metadata)
+        known = paths.exists(spark, f"{path}/sources")
+        sources = spark.read.parquet(f"{path}/sources") if known else None
+        return cls(Fitted(terms, list(head["labels"]), list(head["intercepts"])), metadata, sources)
 
 
 def load_metadata(spark: SparkSession, path: str) -> dict:
@@ -439,7 +452,7 @@ def candidate_scores(metadata: dict, spark: SparkSession) -> DataFrame:
 def _indexed_terms(counts: DataFrame, folds: int) -> tuple[DataFrame, int, int]:
     """``block, term, df, _df_<fold>.., index``, the number of terms and the vector size."""
     spark = counts.sparkSession
-    base = f"{shared_dir(spark)}/terms-{uuid4().hex}"
+    base = working_folder(spark, "terms")
     per_fold = [F.count(F.when(F.col("fold") == f, 1)).alias(f"_df_{f}") for f in range(folds)]
     frequencies = (
         counts.filter(F.col("term").isNotNull())
@@ -516,7 +529,7 @@ def train(corpus: DataFrame, extra_metadata: dict | None = None) -> SentimentCla
     unreadable weight counts 1. More than ``MAX_FEATURES`` terms are an error.
     """
     spark = corpus.sparkSession
-    base = f"{shared_dir(spark)}/corpus-{uuid4().hex}"
+    base = working_folder(spark, "corpus")
     _keyed(corpus).write.parquet(f"{base}/rows")
     rows = spark.read.parquet(f"{base}/rows")
     counted = {r["label"]: r["n"] for r in co.label_counts(rows).collect()}
@@ -568,4 +581,17 @@ def train_from_frame(corpus: DataFrame) -> SentimentClassifier:
     if not needed <= set(corpus.columns):
         raise ValueError(f"a training frame needs the columns {sorted(needed)}")
     complete = corpus.dropna(subset=sorted(needed))
-    return train(corpus, co.provenance(complete).first().asDict())
+    found = written(co.sources(complete))
+    totals = co.provenance(complete, found).first()
+    kinds = found.filter("what = 'source_kind'").select("name").collect()  # two at most
+    model = train(
+        corpus,
+        {
+            "deduplicated_examples": totals["deduplicated_examples"],
+            "support_sum": totals["support_sum"],
+            "source_path_count": totals["source_paths"],
+            "source_kinds": sorted(r["name"] for r in kinds),
+        },
+    )
+    model.sources = found
+    return model

@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posttide.functions.text import NOT_WS, WORD, strip_accents
+from posttide.session import BROADCAST_MAX_ROWS
 
 WORD_BLOCK = "word"
 CHAR_BLOCK = "char"
 CHAR_SIZES = (3, 4, 5)
 MAX_DF = 0.95
 
+# A term found in more than one in so many of all rows is heavy.
+HEAVY = 100_000
+
 
 def word_terms(text: Column) -> Column:
     """Words of two or more letters, lower-cased and without accents, and their pairs."""
@@ -117,9 +121,31 @@ def idf(df: Column, n_texts: Column | int) -> Column:
     return F.log((n + 1.0) / (df + 1.0)) + 1.0
 
 
+def damped(tf: Column) -> Column:
+    return F.log(tf.cast("double")) + 1.0
+
+
 def raw_weight() -> Column:
     """Damped term frequency times ``idf``, before the text's length is divided out."""
-    return (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
+    return damped(F.col("tf")) * F.col("idf")
+
+
+def with_terms(counts: DataFrame, known: DataFrame, n_terms: int, n_rows: int) -> DataFrame:
+    """Rows of ``counts`` with what is ``known`` of their term (block, term, df, ..); inner join.
+
+    A vocabulary small enough goes to every task whole. Of a larger one only the heavy terms do:
+    those with more than one in ``HEAVY`` of all rows, so fewer than ``HEAVY`` terms. The rest is
+    joined by shuffle, where no term has more than that share of the rows. Rows without a term
+    never travel.
+    """
+    rows = counts.filter(F.col("term").isNotNull())
+    if n_terms <= BROADCAST_MAX_ROWS:
+        return rows.join(F.broadcast(known), ["block", "term"])
+    heavy = known.filter(F.col("df") > n_rows / HEAVY).withColumn("_heavy", F.lit(True))
+    marked = rows.join(F.broadcast(heavy), ["block", "term"], "left")
+    by_map = marked.filter("_heavy").drop("_heavy")
+    light = marked.filter("_heavy IS NULL").select(*rows.columns)
+    return by_map.unionByName(light.join(known.filter(F.col("df") <= n_rows / HEAVY), ["block", "term"]))
 
 
 def idf_table(counts: DataFrame, n_texts: int) -> DataFrame:

@@ -130,40 +130,40 @@ def weight_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def provenance(corpus: DataFrame) -> DataFrame:
-    """One row: sources and kinds that occur, rows, and summed support.
+def sources(corpus: DataFrame) -> DataFrame:
+    """Where rows came from: ``what`` (source_path or source_kind), ``name``, ``rows``.
 
-    Every row turns into its names and one counting entry, so a single aggregate
-    does. The name sets hold one entry per source and are reduced per task first.
+    One row for each name, counted in the tasks first; nothing is gathered over all files.
     """
 
-    def names(column: str) -> Column:
+    def names(column: str, what: str) -> Column:
         kind = corpus.schema[column].dataType.typeName()
         listed = F.col(column) if kind == "array" else F.array(column)
-        return F.transform(
-            F.coalesce(listed, F.array().cast("array<string>")),
-            lambda name: F.struct(
-                F.lit(column).alias("what"), name.alias("name"), F.lit(0).cast("bigint").alias("n")
-            ),
-        )
+        return F.transform(listed, lambda name: F.struct(F.lit(what).alias("what"), name.alias("name")))
+
+    empty = F.array().cast("array<struct<what:string,name:string>>")
+    columns = (("source_paths", "source_path"), ("source_kinds", "source_kind"))
+    listed = [
+        F.coalesce(names(c, what), empty)
+        for many, what in columns
+        for c in (many, what)
+        if c in corpus.columns
+    ]
+    named = corpus.select(F.inline(F.concat(empty, *listed)))
+    return named.filter("name <> ''").groupBy("what", "name").agg(F.count(F.lit(1)).alias("rows"))
+
 
+def provenance(corpus: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row: how many rows, their summed support, and how many sources of each kind.
+
+    ``found`` is ``sources(corpus)``, when it is at hand as a table.
+    """
     support = F.coalesce("support", F.lit(1)) if "support" in corpus.columns else F.lit(1)
-    row = F.struct(
-        F.lit("row").alias("what"),
-        F.lit(None).cast("string").alias("name"),
-        support.cast("bigint").alias("n"),
-    )
-    columns = ("source_paths", "source_kinds")
-    entries = corpus.select(
-        F.inline(F.concat(F.array(row), *[names(c) for c in columns if c in corpus.columns]))
+    totals = corpus.agg(
+        F.count(F.lit(1)).alias("deduplicated_examples"),
+        F.coalesce(F.sum(support.cast("bigint")), F.lit(0)).alias("support_sum"),
     )
-    return entries.agg(
-        *[
-            F.sort_array(
-                F.collect_set(F.when((F.col("what") == c) & (F.col("name") != ""), F.col("name")))
-            ).alias(c)
-            for c in columns
-        ],
-        F.count_if(F.col("what") == "row").alias("deduplicated_examples"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("support_sum"),
+    counted = (sources(corpus) if found is None else found).agg(
+        *[F.count_if(F.col("what") == what).alias(f"{what}s") for what in ("source_path", "source_kind")]
     )
+    return totals.crossJoin(F.broadcast(counted))  # one row on each side

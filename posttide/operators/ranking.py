@@ -103,6 +103,27 @@ RECENT_COLUMNS = (
 )
 
 
+# Days behind the newest post that are looked at first, next, and so on, before all are.
+_STRETCHES = (1, 8, 64, 512, 4096)
+_DAY = 86_400_000_000
+
+
+def _recent_enough(tweets: DataFrame, links: DataFrame, run_id: int, limit: int) -> DataFrame:
+    """Posts of the shortest stretch, back from the newest, that holds ``limit`` of the run.
+
+    The filter on ``created_at`` reaches the scan, where posts stored in the order of time are
+    skipped by row group; old posts are read only when the new ones do not suffice.
+    """
+    latest = tweets.agg(F.max(F.unix_micros("created_at"))).first()[0]
+    if latest is None:
+        return tweets
+    for days in _STRETCHES:
+        recent = tweets.filter(F.col("created_at") >= F.timestamp_micros(F.lit(latest - days * _DAY)))
+        if posts_of_runs(recent, links, run_id, []).limit(limit).count() == limit:
+            return recent
+    return tweets
+
+
 def recent_posts(
     tweets: DataFrame, links: DataFrame, run_id: int | None = None, limit: int = 100
 ) -> DataFrame:
@@ -112,6 +133,8 @@ def recent_posts(
     afterwards for the rows that won.
     """
     order = [F.desc("created_at"), F.asc("tweet_id")]
+    if run_id is not None:
+        tweets = _recent_enough(tweets, links, run_id, limit)
     narrow = posts_of_runs(tweets, links, run_id, ["created_at"])
     if run_id is not None:
         winners = narrow.orderBy(*order).limit(limit)
@@ -125,4 +148,3 @@ def recent_posts(
         winners = winners.select("run_id", "tweet_id")
     found = wide.join(winners, "tweet_id").select("run_id", *RECENT_COLUMNS)
     return found.orderBy(*order) if run_id is not None else found
-

@@ -13,7 +13,7 @@ from posttide.ml import classifier as cl
 from posttide.operators import ranking, search, series, state, summary
 from posttide.params import SearchParams, resolve_source
 from posttide.plans.scorers import Scorer, analyze
-from posttide.session import cut_lineage
+from posttide.session import bucketed, cut_lineage
 from posttide.sinks import exports
 from posttide.sinks.store import PostStore, utc_now
 from posttide.sources.labeled import training_corpus, training_paths
@@ -57,8 +57,9 @@ def ingest(
     try:
         batch = search.fetch_batch(readers, asked, resolved)
         chosen = search.chosen_posts(batch.posts, params, batch.served_backend, now or utc_now())
-        # Ids are distinct by now, so the ordinal only names a row. It is given once and written.
-        posts = cut_lineage(chosen.withColumn("ordinal", F.monotonically_increasing_id()))
+        # Ids are distinct by now, so the ordinal only names a row. It is given once and written,
+        # in buckets, so that scores come to the posts and posts need not move.
+        posts = bucketed(chosen.withColumn("ordinal", F.monotonically_increasing_id()), "ordinal")
         analyzed = cut_lineage(analyze(posts, scorer))
         collected = posts.count()
         stored = store.upsert_tweets(analyzed, f"run-{run_id}")

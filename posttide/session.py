@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -44,13 +46,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; removed when the session's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session has gone, and with it the way to the store
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and no task's memory holds it."""
-    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    path = working_folder(df.sparkSession, "written")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key``.
+
+    Writing it shuffles nothing, and a join on ``key`` afterwards moves the other side only.
+    """
+    spark = df.sparkSession
+    path = working_folder(spark, "bucketed")
+    name = "posttide_" + path.rsplit("-", 1)[1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def lookup_side(
     df: DataFrame, rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS
 ) -> DataFrame:

@@ -15,6 +15,9 @@ PROCESSED_COLUMNS = (
     "sentiment_label", "sentiment_score", "sentiment_confidence", "sentiment_metadata",
 )
 
+# Columns that a raw export may have.
+MAX_PAYLOAD_COLUMNS = 2_000
+
 
 def export_name(source_query: Column, at: Column) -> Column:
     """File name of an export: slug of the search, then the UTC time."""
@@ -59,16 +62,27 @@ def union_payloads(frames: list[DataFrame]) -> DataFrame:
     return merged
 
 
-def payload_rows(posts: DataFrame) -> DataFrame:
-    """Raw payloads as columns, the union of the top-level keys that occur.
+def payload_columns(payloads: DataFrame, most: int = MAX_PAYLOAD_COLUMNS) -> list[str]:
+    """The top-level keys of ``payload`` maps, in order, from one aggregate over all rows.
 
-    Only the distinct key names come to the driver; they name output columns.
+    Each row becomes a variant that has its keys and no values; their common schema names every key
+    once. More than ``most`` keys are an error: they would be columns of a table.
     """
-    payload = F.from_json("raw_payload", "map<string,string>")
-    keyed = posts.select(payload.alias("payload"))
-    names = keyed.select(F.explode(F.map_keys("payload")).alias("key")).distinct()
-    columns = sorted(row["key"] for row in names.collect())
-    return keyed.select(*[F.col("payload").getItem(name).alias(name) for name in columns])
+    keys = F.transform_values("payload", lambda _, __: F.lit(True))
+    found = payloads.agg(F.schema_of_variant_agg(F.to_variant_object(keys)).alias("shape")).first()["shape"]
+    if not found or not found.startswith("OBJECT<"):
+        return []
+    names = T.DataType.fromDDL("STRUCT<" + found.removeprefix("OBJECT<")).names
+    if len(names) > most:
+        raise ValueError(f"payloads have {len(names)} different keys; a table has at most {most} columns")
+    return sorted(names)
+
+
+def payload_rows(posts: DataFrame) -> DataFrame:
+    """Raw payloads as columns, the union of the top-level keys that occur."""
+    keyed = posts.select(F.from_json("raw_payload", "map<string,string>").alias("payload"))
+    names = payload_columns(keyed)
+    return keyed.select(*[F.col("payload").getItem(name).alias(name) for name in names])
 
 
 def flat_for_csv(df: DataFrame) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posttide.operators.corpus import label_columns, merge_frames, require_two_labels, training_frame
 from posttide.session import lookup_side
 from posttide.sinks import paths
 
+# Different headers that the files of one corpus may have.
+MAX_HEADERS = 100
+
 # The texts a CSV reader takes for a missing value.
 MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -34,9 +40,13 @@ def training_paths(
     return list(dict.fromkeys(found))
 
 
-def _csv(spark: SparkSession, files: list[str]) -> DataFrame:
+def _csv(spark: SparkSession, files: list[str], columns: list[str]) -> DataFrame:
+    """Rows of CSV files that begin with the same header; a name that repeats counts once."""
+    names = [c if c not in columns[:i] else f"_again_{i}" for i, c in enumerate(columns)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return reader.csv(files)
+    # Names that differ in case only are different columns.
+    return reader.schema(schema).csv(files)
 
 
 def _file_uri(c: Column) -> Column:
@@ -45,27 +55,51 @@ def _file_uri(c: Column) -> Column:
     return F.regexp_replace(plain, "^([a-zA-Z0-9]+):///", "$1:/")
 
 
+def _placed(parts: DataFrame, files: DataFrame) -> DataFrame:
+    """Parts with the listed path that they are or lie in, and its place in the list."""
+    known = lookup_side(files)
+    folder = F.regexp_replace("_part", "/[^/]*$", "")
+    whole = parts.join(known.select(F.col("_path").alias("_part"), F.col("_path").alias("_own"), F.col("_file").alias("_n")), "_part", "left")
+    inside = whole.withColumn("_path", F.coalesce("_own", folder)).join(known, "_path", "left")
+    return inside.withColumn("_file", F.coalesce("_n", "_file")).drop("_own", "_n")
+
+
+def header_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``_part, header``: the first line of every file, from one scan over the files' first blocks."""
+    lines = spark.read.text(files).select(
+        _file_uri(F.col("_metadata.file_path")).alias("_part"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+        "value",
+    )
+    first = lines.filter("_block = 0").groupBy("_part")
+    line = F.rtrim(F.min_by("value", "_row"), F.lit("\r"))
+    return first.agg(F.regexp_replace(line, "^\ufeff", "").alias("header"))
+
+
 def labeled_frames(spark: SparkSession, files: list[str]) -> list[DataFrame]:
     """Training frames of the usable files, one per distinct header.
 
-    Files that share a header are read in one scan. A file is a CSV file or a
-    folder of parts; files without the needed columns are left out.
+    All headers come from one scan, and files that share one are read in one scan, so the number
+    of jobs follows the number of headers. A file is a CSV file or a folder of parts; files without
+    the needed columns, empty ones among them, are left out. More than ``MAX_HEADERS`` different
+    headers are an error.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in files:
-        columns = tuple(_csv(spark, [path]).columns)
+    if not files:
+        return []
+    listed = spark.createDataFrame([(p, i) for i, p in enumerate(files)], "_path string, _file int")
+    headers = header_lines(spark, files).groupBy("header").agg(F.collect_list("_part").alias("parts"))
+    found = headers.limit(MAX_HEADERS + 1).collect()  # the paths come back to be read
+    if len(found) > MAX_HEADERS:
+        raise ValueError(f"labeled files have more than {MAX_HEADERS} different headers")
+    frames = []
+    for header, parts in sorted((r["header"], r["parts"]) for r in found):
+        columns = next(csv.reader([header]), [])
         try:
-            label_columns(list(columns))
+            text, label, _ = label_columns(columns)
         except ValueError:
             continue
-        by_header.setdefault(columns, []).append(path)
-    ordinals = lookup_side(
-        spark.createDataFrame([(p, i) for i, p in enumerate(files)], "_path string, _file int")
-    ) if files else None
-    frames = []
-    for columns, group in by_header.items():
-        text, label, _ = label_columns(list(columns))
-        rows = _csv(spark, group).select(
+        rows = _csv(spark, sorted(parts), columns).select(
             *[
                 F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c)
                 for c in dict.fromkeys(columns)
@@ -75,13 +109,8 @@ def labeled_frames(spark: SparkSession, files: list[str]) -> list[DataFrame]:
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
         )
-        # A part belongs to the listed file itself or to the listed folder it lies in.
-        folder = F.regexp_replace("_part", "/[^/]*$", "")
-        is_file = F.col("_part").isin(*group)
-        rows = rows.withColumn("_path", F.when(is_file, F.col("_part")).otherwise(folder))
-        rows = rows.join(ordinals, "_path", "left")
         frames.append(
-            training_frame(rows, F.col("_path"), ["_file", "_part", "_block", "_row"])
+            training_frame(_placed(rows, listed), F.col("_path"), ["_file", "_part", "_block", "_row"])
         )
     return frames
 
