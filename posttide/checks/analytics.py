@@ -178,6 +178,25 @@ _RECENT_COLUMNS = """run_id, tweet_id, created_at, username, display_name, conte
 _RECENT = """SELECT *, row_number() OVER (PARTITION BY run_id
   ORDER BY created_at DESC, tweet_id) AS rn FROM posts"""
 
+
+def sources_sql(run_id: int, limit: int) -> str:
+    return f"""{_POSTS}, {_SOURCES}
+      SELECT {_SOURCE_COLUMNS} FROM ranked WHERE run_id = {run_id} AND rn <= {limit}"""
+
+
+def recent_sql(run_id: int, limit: int) -> str:
+    return f"""{_POSTS}, r AS ({_RECENT})
+      SELECT {_RECENT_COLUMNS} FROM r WHERE run_id = {run_id} AND rn <= {limit}"""
+
+
+def late_rows_sql() -> str:
+    """The hourly series without posts whose hour the first part's watermark had closed."""
+    first = "created_at < TIMESTAMP '2024-01-21' AND CAST(tweet_id AS BIGINT) % 4 <> 0"
+    return _trend_sql("hour", f"""WHERE run_id = 1 AND (({first})
+      OR date_trunc('hour', created_at) + INTERVAL 1 HOUR
+         > (SELECT max(created_at) - INTERVAL 1 HOUR FROM t_tweets WHERE {first}))""")
+
+
 QUERIES = {
     "ts_hourly_gapfill_rolling": _trend("hourly", _SERIES_RUN),
     "ts_hourly_all_runs": _trend("hourly", None),
@@ -221,15 +240,13 @@ SQL = {
              round(avg(sentiment_confidence), 12) AS average_confidence,
              min(created_at) AS earliest_tweet, max(created_at) AS latest_tweet
       FROM posts WHERE run_id = {_SERIES_RUN}""",
-    "source_breakdown_topk": f"""{_POSTS}, {_SOURCES}
-      SELECT {_SOURCE_COLUMNS} FROM ranked WHERE run_id = 1 AND rn <= 15""",
+    "source_breakdown_topk": sources_sql(1, 15),
     "source_breakdown_all_runs": f"""{_POSTS}, {_SOURCES}
       SELECT {_SOURCE_COLUMNS} FROM ranked WHERE rn <= 15""",
     "source_chart_feed": f"""{_POSTS}, {_SOURCES}
       SELECT {_SOURCE_COLUMNS}, coalesce(nullif(display_name, ''), username) AS source_label
       FROM ranked WHERE run_id = 1 AND rn <= 10""",
-    "recent_tweets": f"""{_POSTS}, r AS ({_RECENT})
-      SELECT {_RECENT_COLUMNS} FROM r WHERE run_id = {_SERIES_RUN} AND rn <= 100""",
+    "recent_tweets": recent_sql(_SERIES_RUN, 100),
     "recent_tweets_all_runs": f"""{_POSTS}, r AS ({_RECENT})
       SELECT {_RECENT_COLUMNS} FROM r WHERE rn <= 100""",
 }

@@ -9,6 +9,8 @@ from posttide import testviews as v
 from posttide.checks.shape import finish
 from posttide.checks.text import sql_key
 from posttide.operators import corpus
+from posttide.session import working_folder
+from posttide.sources.labeled import labeled_frames, training_paths
 
 
 def labeled(spark, sf_dir, source: str) -> DataFrame:
@@ -70,19 +72,38 @@ def _corpus(spark, sf_dir):
 
 
 def _totals(spark, sf_dir):
-    totals = corpus.provenance(merged(spark, sf_dir))
-    return totals.withColumns(
-        {
-            "source_paths": F.array_join("source_paths", ","),
-            "source_kinds": F.array_join("source_kinds", ","),
-        }
-    )
+    return corpus.provenance(merged(spark, sf_dir))
+
+
+def _sources(spark, sf_dir):
+    return corpus.sources(merged(spark, sf_dir))
+
+
+def _labeled_files(spark, sf_dir):
+    """The labeled tables as CSV files, a folder of parts each, next to unusable ones, read back."""
+    base = working_folder(spark, "labeled")
+    manual, processed = (labeled(spark, sf_dir, kind) for kind in ("manual", "processed"))
+    shapes = {
+        "manual.csv": manual.select("text", "label"),
+        "export_a.csv": processed.filter("doc_id % 2 = 0").drop("doc_id"),
+        "export_b.csv": processed.filter("doc_id % 2 = 1").drop("doc_id"),
+        "other_columns.csv": manual.select("doc_id", F.col("text").alias("body")),
+    }
+    for name, rows in shapes.items():
+        rows.write.option("header", True).option("escape", '"').csv(f"{base}/{name}")
+    spark.createDataFrame([], "value string").coalesce(1).write.text(f"{base}/empty.csv")
+    files = training_paths(spark, None, f"{base}/manual.csv", base)
+    rows = corpus.union_frames(labeled_frames(spark, files))
+    name = F.regexp_extract("source_path", "([^/]+)$", 1)
+    return finish(rows.select("text", "label", "sample_weight", name.alias("source"), "source_kind"), 9)
 
 
 QUERIES = {
     "training_frame": _frame,
     "training_corpus": _corpus,
     "corpus_provenance": _totals,
+    "corpus_sources": _sources,
+    "labeled_rows": _labeled_files,
     "corpus_label_counts": lambda spark, sf_dir: corpus.label_counts(merged(spark, sf_dir)),
     "corpus_weight_summary": lambda spark, sf_dir: finish(
         corpus.weight_summary(merged(spark, sf_dir)), 9
@@ -135,11 +156,21 @@ SQL = {
              source_kinds FROM merged""",
     "corpus_provenance": f"""WITH {_MERGED}
       SELECT count(*) AS deduplicated_examples, CAST(sum(support) AS BIGINT) AS support_sum,
-             (SELECT string_agg(DISTINCT p, ',' ORDER BY p) FROM
+             (SELECT count(DISTINCT p) FROM
                (SELECT unnest(string_split(source_paths, ',')) AS p FROM merged)) AS source_paths,
-             (SELECT string_agg(DISTINCT p, ',' ORDER BY p) FROM
+             (SELECT count(DISTINCT p) FROM
                (SELECT unnest(string_split(source_kinds, ',')) AS p FROM merged)) AS source_kinds
       FROM merged""",
+    "corpus_sources": f"""WITH {_MERGED}
+      SELECT what, name, count(*) AS rows FROM (
+        SELECT 'source_path' AS what, unnest(string_split(source_paths, ',')) AS name FROM merged
+        UNION ALL SELECT 'source_kind', unnest(string_split(source_kinds, ',')) FROM merged)
+      GROUP BY what, name""",
+    "labeled_rows": f"""WITH {_BASE}
+      SELECT {_STRIP} AS text, label, round(w, 9) AS sample_weight,
+             CASE WHEN file = 0 THEN 'manual.csv' WHEN doc_id % 2 = 0 THEN 'export_a.csv'
+                  ELSE 'export_b.csv' END AS source, source_kind
+      FROM frame WHERE {_STRIP} <> ''""",
     "corpus_label_counts": f"WITH {_MERGED} SELECT label, count(*) AS n FROM merged GROUP BY label",
     "corpus_weight_summary": f"""WITH {_MERGED}
       SELECT round(min(sample_weight), 9) AS min, round(max(sample_weight), 9) AS max,

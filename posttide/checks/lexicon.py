@@ -14,7 +14,7 @@ from posttide.checks.text import sql_clean, sql_words
 from posttide.functions import text as t
 from posttide.operators import lexicon as lex
 
-_RULES = lex.Rules(
+RULES = lex.Rules(
     boosters={"the": 0.293, "and": -0.293, "la": 0.293},
     booster_pairs={"in the": -0.293},
     negations=("of", "is", "de"),
@@ -23,7 +23,7 @@ _RULES = lex.Rules(
 )
 
 
-def _lexicon(spark, sf_dir):
+def words_of_benchmark(spark, sf_dir):
     items = v.table(spark, sf_dir, "benchmark")
     words = items.select(
         F.explode(t.whitespace_tokens(t.clean_text(F.col("text")))).alias("token")
@@ -37,7 +37,7 @@ def _score(table: str, keys: list[str]):
         texts = v.texts(spark, sf_dir, table, *keys, "text").select(
             *keys, t.clean_text(F.col("text")).alias("cleaned_text")
         )
-        return finish(lex.score_texts(texts, _lexicon(spark, sf_dir), keys, rules=_RULES))
+        return finish(lex.score_texts(texts, words_of_benchmark(spark, sf_dir), keys, rules=RULES))
 
     return query
 
@@ -59,21 +59,21 @@ def _in(values) -> str:
 
 
 def _booster(col: str) -> str:
-    cases = " ".join(f"WHEN {col} = '{w}' THEN {b}" for w, b in _RULES.boosters.items())
+    cases = " ".join(f"WHEN {col} = '{w}' THEN {b}" for w, b in RULES.boosters.items())
     return f"(CASE {cases} ELSE 0.0 END)"
 
 
 def _sql(table: str, keys: list[str]) -> str:
     key = ", ".join(keys)
-    neg = _in(_RULES.negations)
-    mods = _in(_RULES.boosters)
+    neg = _in(RULES.negations)
+    mods = _in(RULES.boosters)
     return f"""
 WITH lexicon AS (
   SELECT token, ((ascii(token) * 7 + length(token) * 13) % 41 - 20) / 10.0 AS valence
   FROM (SELECT DISTINCT unnest({sql_words(sql_clean('text'))}) AS token FROM benchmark)
   WHERE length(token) >= 4),
 d AS (SELECT {key}, {sql_words(sql_clean('text'))} AS words FROM {table}),
-e AS (SELECT {key}, words, list_position(words, '{_RULES.contrast}') AS contrast,
+e AS (SELECT {key}, words, list_position(words, '{RULES.contrast}') AS contrast,
              unnest(range(1, len(words) + 1)) AS pos FROM d),
 w AS (SELECT {key}, pos, contrast, words[pos] AS token,
              CASE WHEN pos > 1 THEN words[pos - 1] END AS p1,

@@ -94,12 +94,17 @@ class PostStore:
         newest = {r["bucket"]: r["fold"] for r in rows}
         return newest, buckets, max(newest.values(), default=0)
 
-    def _posts(self, newest: dict[int, int]) -> DataFrame:
-        """The merged rows of these buckets."""
+    def merged_posts(self, newest: dict[int, int] | None = None) -> DataFrame:
+        """What folds have merged, with the ``fold`` and ``bucket`` of each row's file."""
+        newest = self._newest_folds()[0] if newest is None else newest
         if not newest:
-            return self.spark.createDataFrame([], schemas.TWEETS)
+            return self.spark.createDataFrame([], schemas.TWEETS).selectExpr("*", "0 AS fold", "0 AS bucket")
         folders = [self._posts_path(fold, bucket) for bucket, fold in newest.items()]
-        return state.conform(self.spark.read.parquet(*folders), "tweets").select(*schemas.TWEETS.names)
+        return self.spark.read.option("basePath", f"{self.root}/posts").parquet(*folders)
+
+    def _posts(self, newest: dict[int, int]) -> DataFrame:
+        """The merged rows of these buckets."""
+        return state.conform(self.merged_posts(newest), "tweets").select(*schemas.TWEETS.names)
 
     def _pending(self) -> DataFrame | None:
         """Changes that no fold has taken in; None when there never was one."""

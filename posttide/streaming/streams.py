@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from posttide import schemas
-from posttide.operators.series import check_granularity, label_counts
+from posttide.operators.series import check_granularity, fill_gaps, label_counts, rolling_average
 from posttide.plans.scorers import Scorer, analyze
 from posttide.sinks.store import PostStore, writer_name
 from posttide.sources.posts import posts_from_scraped
 
+_SERIES_COLUMNS = (
+    "total_tweets", "average_sentiment", "positive_count", "negative_count", "neutral_count",
+)
 _WIDTHS = {"hourly": "1 hour", "daily": "1 day"}
 
 
@@ -72,6 +75,35 @@ def series_stream(posts: DataFrame, granularity: str, delay: str = "1 hour") ->
     )
 
 
+def store_series(
+    posts: DataFrame, granularity: str, folder: str, checkpoint: str, delay: str = "1 hour"
+) -> StreamingQuery:
+    """Keep the series of a stream below ``folder``, then stop when all landed files are read.
+
+    State lasts over runs with one checkpoint: a later run goes on counting open periods, and drops
+    posts of periods that the watermark has closed. Each micro-batch writes the periods it changed,
+    as a partition of its own that a replay overwrites; ``read_series`` takes the newest of each.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        placed = numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        placed.partitionBy("batch").parquet(folder)
+
+    return (
+        series_stream(posts, granularity, delay).writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def read_series(spark: SparkSession, folder: str, granularity: str, window: int = 3) -> DataFrame:
+    """The stored series with its gaps filled and its rolling mean."""
+    newest = F.struct("batch", *[F.col(c) for c in _SERIES_COLUMNS])
+    last = spark.read.parquet(folder).groupBy("run_id", "period").agg(F.max(newest).alias("_last"))
+    series = last.select("run_id", "period", *[F.col(f"_last.{c}").alias(c) for c in _SERIES_COLUMNS])
+    return rolling_average(fill_gaps(series, granularity), window)
+
+
 def first_per_id(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     """Drop repeated ids that arrive within ``delay`` of the first."""
     return posts.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["tweet_id"])
