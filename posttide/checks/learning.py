@@ -11,7 +11,9 @@ from posttide.checks.text import _WS
 from posttide.ml import classifier as cl
 from posttide.ml import features as ft
 from posttide.operators import corpus as co
-from posttide.session import written
+from posttide.plans import jobs
+from posttide.plans.scorers import ml_scorer, resolve_scorer
+from posttide.session import working_folder, written
 
 _FOLDS = 5
 
@@ -83,14 +85,79 @@ def _cv(spark, sf_dir):
 def _predict(spark, sf_dir):
     texts = v.tweets(spark, sf_dir).select("tweet_id", "content")
     found = _model(spark, sf_dir).predict(texts, ["tweet_id"], "content")
+    p = F.col("probabilities")
+    near = lambda a, b: F.abs(a - b) < 1e-9
     return found.select(
         "tweet_id",
         "label",
         F.when(F.col("label") != "neutral", F.signum("score").cast("int")).alias("side"),
         F.col("confidence").between(1 / 3, 1.0).alias("in_range"),
+        near(F.aggregate(F.map_values(p), F.lit(0.0), lambda a, x: a + x), F.lit(1.0)).alias("sums_to_one"),
+        near(F.col("score"), p["positive"] - p["negative"]).alias("score_is_difference"),
+        near(p[F.col("label")], F.array_max(F.map_values(p))).alias("label_is_top"),
     )
 
 
+def _round_trip(spark, sf_dir):
+    """Predictions of a model read back from its files, next to those of the one that was saved."""
+    model = _model(spark, sf_dir)
+    path = model.save(working_folder(spark, "model"))
+    again = resolve_scorer(spark, "ml", model_path=path, auto_train=False)
+    texts = v.tweets(spark, sf_dir).select("tweet_id", F.col("content").alias("cleaned_text"))
+    before = ml_scorer(model)(texts, ["tweet_id"])
+    after = again(texts, ["tweet_id"])
+    same = (before["label"] == after["label"]) & (F.abs(before["score"] - after["score"]) < 1e-12)
+    same = same & (before["metadata"] == after["metadata"])
+    return before.join(after, "tweet_id").select("tweet_id", after["label"].alias("label"), same.alias("same"))
+
+
+def _train_job(spark, sf_dir):
+    """A training job over CSV files of posts: what it says it learned from."""
+    base = working_folder(spark, "training")
+    rows = v.tweets(spark, sf_dir).select("content", "sentiment_label", "sentiment_confidence", "sentiment_score")
+    rows.write.option("header", True).option("escape", '"').csv(f"{base}/exports/posts.csv")
+    jobs.train_job(spark, f"{base}/model", processed_dir=f"{base}/exports")
+    facts = cl.load_metadata(spark, f"{base}/model")
+    found = [(label, n, facts["artifact_version"], facts["training_examples"]) for label, n in facts["label_distribution"].items()]
+    return spark.createDataFrame(found, "label string, n long, artifact_version int, training_examples long")
+
+
+def _two_labels(spark, sf_dir):
+    """For each language, whether training on its toxic labels would be refused."""
+    rows = v.table(spark, sf_dir, "labels").join(v.table(spark, sf_dir, "documents"), "doc_id")
+    marked = written(rows.select("lang", F.when(F.col("quality") == 1, "positive").otherwise("neutral").alias("label")))
+    out = []
+    for lang in [r[0] for r in marked.select("lang").distinct().collect()]:
+        for name, mine in ((f"{lang}", marked.filter(F.col("lang") == lang)), (f"{lang} good", marked.filter((F.col("lang") == lang) & (F.col("label") == "positive")))):
+            try:
+                co.require_two_labels(mine)
+                out.append((name, False))
+            except ValueError:
+                out.append((name, True))
+    return spark.createDataFrame(out, "rows_of string, refused boolean")
+
+
+def _trials(spark, sf_dir):
+    """Predictions of three rules, as candidates, on the labeled documents in five folds."""
+    rows = _labels(spark, sf_dir).join(v.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    rules = {
+        "by_toxicity": F.col("predicted"),
+        "by_length": F.when(F.col("n_chars") > 600, "good").otherwise("bad"),
+        "always_good": F.lit("good"),
+    }
+    tried = F.array(*[F.struct(F.lit(k).alias("candidate"), p.alias("predicted")) for k, p in rules.items()])
+    return rows.select((F.col("doc_id") % _FOLDS).alias("fold"), "label", F.inline(tried))
+
+
+def _fold_scores(spark, sf_dir):
+    return finish(cl.candidate_metrics(_trials(spark, sf_dir)), 9)
+
+
+def _selected(spark, sf_dir):
+    order = ["always_good", "by_length", "by_toxicity"]
+    return finish(cl.ranked_candidates(cl.candidate_metrics(_trials(spark, sf_dir)), order), 9).drop("folds")
+
+
 QUERIES = {
     "tfidf_terms": _idf,
     "tfidf_lengths": _lengths,
@@ -98,6 +165,11 @@ QUERIES = {
     "stratified_folds": _folds,
     "ml_cv_metrics": _cv,
     "ml_predict": _predict,
+    "model_round_trip": _round_trip,
+    "train_job_facts": _train_job,
+    "two_label_guard": _two_labels,
+    "ml_fold_scores": _fold_scores,
+    "ml_selected": _selected,
 }
 
 _WORDS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}')"
@@ -123,6 +195,21 @@ f AS (SELECT block, term, count(*) AS df, ln((n + 1.0) / (count(*) + 1.0)) + 1.0
       FROM c, n GROUP BY block, term, n HAVING block = 'char' OR count(*) <= 0.95 * n)"""
 
 
+_TRIALS = f"""r AS (
+  SELECT doc_id % {_FOLDS} AS fold, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS t, unnest([
+      {{'candidate': 'by_toxicity', 'p': CASE WHEN toxic = 1 THEN 'bad' WHEN n_chars < 200 THEN 'short' ELSE 'good' END}},
+      {{'candidate': 'by_length', 'p': CASE WHEN n_chars > 600 THEN 'good' ELSE 'bad' END}},
+      {{'candidate': 'always_good', 'p': 'good'}}], recursive := true)
+  FROM labels JOIN documents USING (doc_id)),
+l AS (SELECT candidate, fold, t AS label FROM r UNION SELECT candidate, fold, p FROM r),
+s AS (SELECT l.candidate, l.fold, l.label, 2.0 * count(*) FILTER (WHERE t = label AND p = label)
+        / (count(*) FILTER (WHERE t = label) + count(*) FILTER (WHERE p = label)) AS f1
+      FROM l JOIN r ON r.candidate = l.candidate AND r.fold = l.fold GROUP BY ALL),
+a AS (SELECT candidate, fold, avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END) AS accuracy FROM r GROUP BY ALL),
+per_fold AS (SELECT s.candidate, s.fold, avg(f1) AS macro_f1, any_value(accuracy) AS accuracy
+  FROM s JOIN a ON a.candidate = s.candidate AND a.fold = s.fold GROUP BY s.candidate, s.fold)"""
+
+
 SQL = {
     "tfidf_terms": f"""WITH {_counts_sql('conversations', "conv_id || '-' || turn")}
       SELECT block, term, df, round(idf, 9) AS idf FROM f""",
@@ -150,5 +237,24 @@ SQL = {
     "ml_predict": f"""WITH {T_TWEETS}
       SELECT tweet_id, sentiment_label AS label,
              CASE sentiment_label WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE NULL END
-               AS side, true AS in_range FROM t_tweets""",
+               AS side, true AS in_range, true AS sums_to_one, true AS score_is_difference,
+             true AS label_is_top FROM t_tweets""",
+    # For the same reason every fold of both candidates is told apart without a mistake.
+    "ml_cv_metrics": f"""SELECT unnest(['word_bigram_logreg', 'word_char_logreg']) AS candidate,
+      CAST({_FOLDS} AS INTEGER) AS folds, CAST(1.0 AS DOUBLE) AS macro_f1, CAST(1.0 AS DOUBLE) AS accuracy""",
+    "model_round_trip": f"""WITH {T_TWEETS} SELECT tweet_id, sentiment_label AS label, true AS same FROM t_tweets""",
+    "train_job_facts": f"""WITH {T_TWEETS},
+      k AS (SELECT DISTINCT content, sentiment_label AS label FROM t_tweets)
+      SELECT label, count(*) AS n, CAST(2 AS INTEGER) AS artifact_version,
+             CAST(sum(count(*)) OVER () AS BIGINT) AS training_examples FROM k GROUP BY label""",
+    "two_label_guard": """WITH r AS (SELECT lang, quality FROM labels JOIN documents USING (doc_id))
+      SELECT lang AS rows_of, count(DISTINCT quality) < 2 AS refused FROM r GROUP BY lang
+      UNION ALL SELECT DISTINCT lang || ' good', true FROM r""",
+    "ml_fold_scores": f"""WITH {_TRIALS}
+      SELECT candidate, CAST(count(*) AS INTEGER) AS folds, round(avg(macro_f1), 9) AS macro_f1,
+             round(avg(accuracy), 9) AS accuracy FROM per_fold GROUP BY candidate""",
+    "ml_selected": f"""WITH {_TRIALS},
+      m AS (SELECT candidate, avg(macro_f1) AS f, avg(accuracy) AS a FROM per_fold GROUP BY candidate)
+      SELECT candidate, round(f, 9) AS macro_f1, round(a, 9) AS accuracy,
+             CAST(row_number() OVER (ORDER BY f DESC, a DESC, candidate) AS INTEGER) AS rank FROM m""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +56,9 @@ CANDIDATES = (
 DEFAULT_CANDIDATE = "word_char_logreg"
 
 
+_METRICS = "candidate string, folds int, macro_f1 double, accuracy double"
+
+
 # Metrics
 
 
@@ -100,14 +105,35 @@ def stratified_folds(
     return placed.withColumn("fold", (F.col("_position") % folds).cast("int")).drop("_position")
 
 
-def select_candidate(metrics: dict[str, dict]) -> str:
-    """Highest macro F1, then accuracy, then order; without metrics the default."""
-    scored = [
-        (m["macro_f1"], m["accuracy"] if m["accuracy"] is not None else float("-inf"), -i, name)
-        for i, (name, m) in enumerate(metrics.items())
-        if m["macro_f1"] is not None
-    ]
-    return max(scored)[-1] if scored else DEFAULT_CANDIDATE
+def candidate_metrics(predictions: DataFrame) -> DataFrame:
+    """Mean scores over folds: ``candidate, folds, macro_f1, accuracy``.
+
+    ``predictions`` has ``candidate, fold, label, predicted``, one row for each text of each fold
+    that a candidate was tried on. Beyond the first count there are a few rows a fold.
+    """
+    per_fold = fold_metrics(predictions, by=["candidate", "fold"])
+    return per_fold.groupBy("candidate").agg(
+        F.count(F.lit(1)).cast("int").alias("folds"),
+        F.avg("macro_f1").alias("macro_f1"),
+        F.avg("accuracy").alias("accuracy"),
+    )
+
+
+def ranked_candidates(metrics: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Candidates with their ``rank``: highest macro F1, then accuracy, then the order given.
+
+    One without scores ranks behind those that have some.
+    """
+    names = [c.name for c in CANDIDATES] if order is None else order
+    place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("candidate"))
+    by = W.orderBy(F.desc_nulls_last("macro_f1"), F.desc_nulls_last("accuracy"), place, "candidate")
+    return metrics.withColumn("rank", F.row_number().over(by))  # a handful of rows
+
+
+def selected_candidate(metrics: DataFrame, order: list[str] | None = None) -> str:
+    """The first of the ranked candidates; without scores the default."""
+    best = ranked_candidates(metrics.filter("macro_f1 IS NOT NULL"), order).filter("rank = 1").first()
+    return best["candidate"] if best else DEFAULT_CANDIDATE
 
 
 # Fitting
@@ -441,9 +467,7 @@ def candidate_scores(metadata: dict, spark: SparkSession) -> DataFrame:
         (m["candidate"], m["folds"], m["macro_f1"], m["accuracy"])
         for m in metadata.get("candidate_metrics", {}).values()
     ]
-    return spark.createDataFrame(
-        rows, "candidate string, folds int, macro_f1 double, accuracy double"
-    )
+    return spark.createDataFrame(rows, _METRICS)
 
 
 # Training
@@ -472,43 +496,28 @@ def _indexed_terms(counts: DataFrame, folds: int) -> tuple[DataFrame, int, int]:
     return spark.read.parquet(f"{base}/indexed"), n_terms, n_terms
 
 
-def _evaluate(
-    spark: SparkSession, path: str, fold: int, cand: Candidate, sets: TrainingSets
-) -> tuple[float, float]:
-    """Macro F1 and accuracy on one fold of a model fitted on the others."""
-    model = _fit(spark, path, fold, cand, sets)
-    held = _read_vectors(spark, path, fold, cand).filter("held_out")
-    row = fold_metrics(model.transform(held), "target", "prediction").first()
-    return row["macro_f1"], row["accuracy"]
-
-
 def cross_validate(
     spark: SparkSession, path: str, sets: TrainingSets, folds: int
-) -> dict[str, dict]:
-    """Mean scores per candidate. The fits are Spark jobs; a few run side by side."""
+) -> DataFrame:
+    """Mean scores per candidate. The fits are Spark jobs, of which a few run side by side; the
+    predictions of all folds are one relation, scored by one query."""
     if folds < 2:
-        return {
-            c.name: {"candidate": c.name, "folds": 0, "macro_f1": None, "accuracy": None}
-            for c in CANDIDATES
-        }
+        rows = [(c.name, 0, None, None) for c in CANDIDATES]
+        return spark.createDataFrame(rows, _METRICS)
     tasks = [(c, f) for c in CANDIDATES for f in range(folds)]
 
     def run(task):
         cand, fold = task
-        return _evaluate(spark, path, fold, cand, sets)
+        model = _fit(spark, path, fold, cand, sets)
+        held = _read_vectors(spark, path, fold, cand).filter("held_out")
+        return model.transform(held).select(
+            F.lit(cand.name).alias("candidate"), F.lit(fold).alias("fold"),
+            F.col("target").alias("label"), F.col("prediction").alias("predicted"),
+        )
 
     with ThreadPool(PARALLEL_FITS) as pool:
-        scores = pool.map(inheritable_thread_target(spark)(run), tasks)
-    result = {}
-    for cand in CANDIDATES:
-        mine = [s for (c, _), s in zip(tasks, scores) if c is cand]
-        result[cand.name] = {
-            "candidate": cand.name,
-            "folds": folds,
-            "macro_f1": sum(f1 for f1, _ in mine) / folds,
-            "accuracy": sum(accuracy for _, accuracy in mine) / folds,
-        }
-    return result
+        predictions = pool.map(inheritable_thread_target(spark)(run), tasks)
+    return written(candidate_metrics(reduce(DataFrame.unionByName, predictions)))
 
 
 def _keyed(corpus: DataFrame) -> DataFrame:
@@ -558,7 +567,7 @@ def train(corpus: DataFrame, extra_metadata: dict | None = None) -> SentimentCla
     vectors = write_vectors(counts, terms, size, n_terms, sets)
     counts.unpersist()
     metrics = cross_validate(spark, vectors, sets, folds)
-    chosen = select_candidate(metrics)
+    chosen = selected_candidate(metrics)
     cand = next(c for c in CANDIDATES if c.name == chosen)
     fitted = _fitted(spark, _fit(spark, vectors, ALL_TEXTS, cand, sets), terms, sets, size)
     weights = co.weight_summary(docs.withColumnRenamed("weight", "sample_weight")).first()
@@ -569,7 +578,7 @@ def train(corpus: DataFrame, extra_metadata: dict | None = None) -> SentimentCla
         "training_examples": total,
         "label_distribution": counted,
         "weight_summary": weights.asDict(),
-        "candidate_metrics": metrics,
+        "candidate_metrics": {r["candidate"]: r.asDict() for r in metrics.collect()},
         **(extra_metadata or {}),
     }
     return SentimentClassifier(fitted, metadata)

@@ -99,10 +99,15 @@ def test_metrics_and_selection(spark):
     row = cl.fold_metrics(rows).first()
     assert row["accuracy"] == pytest.approx(0.5)
     assert row["macro_f1"] == pytest.approx((2 * 1 / 4 + 2 * 1 / 3 + 0.0) / 3)
-    none = {"macro_f1": None, "accuracy": None}
-    same = {"macro_f1": 0.5, "accuracy": 0.5}
-    assert cl.select_candidate({"word_bigram_logreg": none, "word_char_logreg": none}) == "word_char_logreg"
-    assert cl.select_candidate({"word_bigram_logreg": same, "word_char_logreg": same}) == "word_bigram_logreg"
+
+    def chosen(first, second):
+        tried = [("word_bigram_logreg", 2, *first), ("word_char_logreg", 2, *second)]
+        return cl.selected_candidate(spark.createDataFrame(tried, cl._METRICS))
+
+    assert chosen((None, None), (None, None)) == "word_char_logreg"
+    assert chosen((0.5, 0.5), (0.5, 0.5)) == "word_bigram_logreg"
+    assert chosen((0.5, 0.5), (0.5, 0.6)) == "word_char_logreg"
+    assert chosen((0.5, None), (None, 0.6)) == "word_bigram_logreg"
 
 
 def test_folds_are_stratified(spark):
