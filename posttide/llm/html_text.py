@@ -15,15 +15,12 @@ from posttide.llm.common import small_batches
 LEAST_CHARS, LEVELS = 25, 5
 # A sibling of the best container is kept from this share of its score, and this score, on.
 SIBLING_SHARE, SIBLING_SCORE = 0.2, 10.0
-# Share of link text beyond which a list or table is a menu.
-MOST_LINKS = 0.5
-
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
-    re.DOTALL,
-)
+# Share of link text beyond which a list or table is a menu; inside an article, where such a list
+# must also have so many blocks, and a table is none.
+MOST_LINKS, ALL_LINKS, MENU_BLOCKS = 0.5, 0.9, 2
+
+_NAME_OF = re.compile(r"[A-Za-z][^\s/>]*")
+_PLAIN = re.compile("[^>\"']*")
 _ATTR = re.compile(r"([A-Za-z][\w-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _COMMA = re.compile("[,،，、;]")
 _SENTENCE_END = re.compile("[.!?\u2026\u3002\uff01\uff1f\u061f][\"'\u201d\u2019\u00bb)]*$")
@@ -42,7 +39,7 @@ _PARAGRAPHS = _HEADINGS | frozenset("p pre li dd dt td th figcaption caption sum
 _NOISE_TAGS = frozenset("nav aside footer form dialog menu search".split())
 # Tags that hold no text of the page.
 _NO_TEXT_TAGS = frozenset(
-    "head noscript template iframe object canvas svg math video audio map button select option "
+    "head noscript template iframe object canvas svg annotation annotation-xml video audio map button select option "
     "datalist".split()
 )
 _NOISE_ROLES = frozenset(
@@ -58,6 +55,13 @@ _NOISE_NAMES = frozenset(
     "replies respond footer masthead topbar share sharing social related recommended "
     "recommendations trending pagination pager widget widgets toolbar skip hidden".split()
 )
+# Parts of a name that say nothing of what it names. Inside an article a class marks noise only when
+# all other parts of it do.
+_EMPTY_NAMES = frozenset(
+    "post posts article entry content box bar list block container wrap wrapper inner outer section "
+    "area link links button buttons icon icons item items title header top bottom left right site "
+    "page main story module panel group row col".split()
+)
 _HEADER_NAMES = frozenset(["header"])
 _GOOD_NAMES = frozenset("article body content entry main post story text blog".split())
 _WEIGHTS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0}
@@ -89,11 +93,61 @@ class _Node:
         return (self.points + self.bonus) * (1 - self.linked / self.chars if self.chars else 1)
 
 
+class _Tags:
+    """Markup of a page from left to right, each character looked at a bounded number of times.
+
+    A > between quotes does not end a tag. After a quote that is never closed, quotes of any kind
+    hide nothing any more.
+    """
+
+    def __init__(self, source: str):
+        self._source, self._quotes = source, True
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends the tag around ``at``; -1 for none."""
+        p = at
+        while self._quotes:
+            p = _PLAIN.match(self._source, p).end()
+            if p == len(self._source):
+                self._quotes = False
+            elif self._source[p] == ">":
+                return p
+            else:
+                p = self._source.find(self._source[p], p + 1) + 1
+                self._quotes = p > 0
+        return self._source.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(start, past, name, attributes, whether it is an end tag) of what comes next; the name of
+        comments and declarations is empty."""
+        source = self._source
+        while True:
+            start = source.find("<", at)
+            if start < 0:
+                return None
+            if source.startswith("<!--", start):
+                past = source.find("-->", start + 4)
+                return start, len(source) if past < 0 else past + 3, "", "", False
+            if source[start + 1 : start + 2] in ("!", "?"):
+                past = source.find(">", start)
+                return start, len(source) if past < 0 else past + 1, "", "", False
+            ending = source[start + 1 : start + 2] == "/"
+            name = _NAME_OF.match(source, start + 1 + ending)
+            if name is None:
+                at = start + 1
+                continue
+            past = self._end(name.end())
+            if past < 0:  # no > is left, and so no tag
+                return None
+            return start, past + 1, name[0].lower(), source[name.end() : past], ending
+
+
 class _Page:
     """Blocks of text in page order, each with the block element that holds it.
 
     Elements that look like noise are skipped, but for those that start at the places in ``kept``.
-    Without ``kept`` none is: each has a node that holds the place.
+    Without ``kept`` none is: each has a node that holds the place. Open elements are found by the
+    places that each tag has among them.
     """
 
     def __init__(self, source: str, kept: frozenset[int] | None = None):
@@ -101,30 +155,29 @@ class _Page:
         self.root = _Node("html", None, False, False)
         self.nodes, self.blocks = [self.root], []
         self._open: list[tuple[str, _Node]] = []
+        self._places: dict[str, list[int]] = {}
         self._run: list[tuple[str, bool]] = []
         self._links = 0
-        at = 0
+        tags, at = _Tags(source), 0
         while True:
-            found = _TAG.search(source, at)
+            found = tags.next(at)
             if found is None:
                 self._text(source[at:])
                 break
-            if found.start() > at:
-                self._text(source[at : found.start()])
-            at = found.end()
-            name = found[2] or found[5]
+            start, past, name, attributes, ending = found
+            if start > at:
+                self._text(source[at:start])
+            at = past
             if not name:
                 continue
-            name = name.lower()
-            if found[1] or found[4]:
+            if ending:
                 self._end(name)
-                continue
-            attributes = found[3] if found[2] else found[6]
-            if name in _RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else len(source)
-                continue
-            self._start(name, attributes or "", found.start())
+            elif name in _RAW:
+                close = re.compile(f"</{name}(?![a-z0-9])", re.IGNORECASE).search(source, at)
+                end = source.find(">", close.end()) if close else -1
+                at = len(source) if end < 0 else end + 1
+            else:
+                self._start(name, attributes, start)
         self._flush()
 
     @property
@@ -146,7 +199,8 @@ class _Page:
         if not text:
             return
         node = self._holder()
-        if node.heads and node.tag not in _HEADINGS:
+        lead = node.tag == "p" and len(text) >= LEAST_CHARS and _SENTENCE_END.search(text[-4:])
+        if node.heads and node.tag not in _HEADINGS and not lead:
             return
         linked = sum(len(x) for x, link in run if link)
         linked = min(len(text), len(" ".join("".join(x for x, k in run if k).split()))) if linked else 0
@@ -158,19 +212,36 @@ class _Page:
             node = node.parent
         return node
 
+    def _last(self, tags) -> int:
+        """The place of the innermost open element with one of these tags; -1 for none."""
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=-1)
+
+    def _push(self, tag: str, node: _Node) -> None:
+        for kind in (tag, "*block") if tag in _BLOCK else (tag,):
+            self._places.setdefault(kind, []).append(len(self._open))
+        self._open.append((tag, node))
+
+    def _pop(self) -> None:
+        tag, _ = self._open.pop()
+        if tag:
+            for kind in (tag, "*block") if tag in _BLOCK else (tag,):
+                self._places[kind].pop()
+            self._links -= tag == "a"
+
     def _pop_to(self, tags, holders) -> None:
-        for i in range(len(self._open) - 1, -1, -1):
-            tag = self._open[i][0]
-            if tag in tags:
-                self._cut(i)
-                return
-            if tag in holders:
-                return
+        i = self._last(tags)
+        if i >= 0 and i >= self._last(holders):
+            self._cut(i)
 
     def _cut(self, i: int) -> None:
         self._flush()
-        self._links -= sum(tag == "a" for tag, _ in self._open[i:])
-        del self._open[i:]
+        while len(self._open) > i:
+            self._pop()
+        self._drop_closed()
+
+    def _drop_closed(self) -> None:
+        while self._open and not self._open[-1][0]:
+            self._pop()
 
     def _start(self, name: str, attributes: str, at: int) -> None:
         block = name in _BLOCK
@@ -194,7 +265,7 @@ class _Page:
         if not skip:
             skip, noise, header, bonus = self._judge(name, attributes, block)
             if header:
-                inside = any(tag in ("article", "main") for tag, _ in self._open)
+                inside = self._last(("article", "main")) >= 0
                 heads, noise = heads or inside, noise or not inside
             marked = noise and not skip and self._kept is None
             skip = skip or noise and self._kept is not None and at not in self._kept
@@ -208,9 +279,9 @@ class _Page:
             else:
                 node = _Node(name, self._block_parent(parent), skip, heads, bonus, at if marked else -1)
                 self.nodes.append(node)
-            self._open.append((name, node))
+            self._push(name, node)
         else:
-            self._open.append((name, parent))
+            self._push(name, parent)
 
     def _block_parent(self, node: _Node) -> _Node:
         while node.tag not in _BLOCK and node.at < 0 and node.parent is not None:
@@ -226,10 +297,15 @@ class _Page:
         if not attributes or name in ("html", "body", "main"):
             return False, noise, header, bonus
         names: list[str] = []
+        inside = self._last(("article", "main")) >= 0
+        named = False
         for key, a, b, c in _ATTR.findall(attributes):
             key, value = key.lower(), (a or b or c).lower()
             if key in ("class", "id"):
                 names += _NAME.split(value.strip())
+                if not (key == "id" and name in _PARAGRAPHS):  # there an anchor
+                    whole = [set(_NAME.split(x)) - _EMPTY_NAMES for x in value.split()]
+                    named = named or any(x and x <= _NOISE_NAMES for x in whole)
             elif key == "role" and value in _NOISE_ROLES:
                 noise = True
             elif key == "hidden" and value != "until-found":
@@ -241,7 +317,7 @@ class _Page:
             elif key == "itemprop" and value == "articlebody":
                 bonus += 25.0
         found = set(names)
-        if noise or found & _NOISE_NAMES:
+        if noise or (named if inside else found & _NOISE_NAMES):
             return False, True, False, bonus + (15.0 if found & _GOOD_NAMES else 0.0)
         if block and found & _HEADER_NAMES and name not in ("article", *_HEADINGS):
             header = True
@@ -252,18 +328,17 @@ class _Page:
             self._text(" ")
         if name in _VOID:
             return
-        for i in range(len(self._open) - 1, -1, -1):
-            tag = self._open[i][0]
-            if tag == name:
-                if name in _BLOCK or self._open[i][1].at >= 0:
-                    self._cut(i)
-                else:
-                    if name == "a":
-                        self._links -= 1
-                    del self._open[i]
-                return
-            if name not in _BLOCK and tag in _BLOCK:
-                return
+        i = self._last((name,))
+        if i < 0 or name not in _BLOCK and self._last(("*block",)) > i:
+            return
+        if name in _BLOCK or self._open[i][1].at >= 0:
+            self._cut(i)
+            return
+        # Closed in the middle: its place stays, without a tag, until all above it is closed.
+        self._places[name].pop()
+        self._links -= name == "a"
+        self._open[i] = ("", self._open[i][1])
+        self._drop_closed()
 
 
 def _score(page: _Page) -> None:
@@ -312,8 +387,10 @@ def _not_noise(page: _Page) -> frozenset[int]:
     articles = [x for x in page.nodes if x.tag == "article"]
     wanted = [(x, 0) for x in page.nodes if x.tag == "main" and x.prose]
     wanted += [(x, outside) for x in (_best(page), max(articles, key=lambda x: x.prose, default=None)) if x]
+    seen = set()
     for node, least in wanted:
-        while node is not None:
+        while node is not None and (id(node), least) not in seen:
+            seen.add((id(node), least))
             if node.at >= 0 and node.prose > least:
                 kept.add(node.at)
             node = node.parent
@@ -349,6 +426,14 @@ def _choose(page: _Page) -> None:
         node.keep = node.score() >= limit or plain or heading
 
 
+def _is_menu(node: _Node, inside: bool, blocks: int) -> bool:
+    if not node.chars or node.tag not in ("ul", "ol", "table", "dl"):
+        return False
+    if inside:
+        return node.tag != "table" and blocks >= MENU_BLOCKS and node.linked > ALL_LINKS * node.chars
+    return node.linked > MOST_LINKS * node.chars
+
+
 def main_text(source: str | None) -> str:
     """The article of one page, its blocks joined by line breaks; empty for none."""
     if not source:
@@ -359,15 +444,22 @@ def main_text(source: str | None) -> str:
         page = _Page(source, _not_noise(page))
         _score(page)
     _choose(page)
-    menus = set()
+    sizes: dict[int, int] = {}
+    for node, *_ in page.blocks:
+        sizes[id(node)] = sizes.get(id(node), 0) + 1
+    for node in reversed(page.nodes):
+        if node.parent is not None:
+            sizes[id(node.parent)] = sizes.get(id(node.parent), 0) + sizes.get(id(node), 0)
+    menus, inside = set(), set()
     for node in page.nodes:
         parent = node.parent
-        if parent is not None:
-            node.keep = node.keep or parent.keep
-            if id(parent) in menus or (
-                node.tag in ("ul", "ol", "table", "dl") and node.chars and node.linked > MOST_LINKS * node.chars
-            ):
-                menus.add(id(node))
+        if parent is None:
+            continue
+        node.keep = node.keep or parent.keep
+        if node.tag in ("article", "main") or id(parent) in inside:
+            inside.add(id(node))
+        if id(parent) in menus or _is_menu(node, id(node) in inside, sizes.get(id(node), 0)):
+            menus.add(id(node))
     return "\n".join(
         text
         for node, text, _ in page.blocks

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections import defaultdict
 
@@ -63,6 +64,64 @@ def test_wrappers_with_noise_names_keep_the_article(wrapper):
     assert main_text(page).split("\n") == parts
 
 
+def test_names_formulas_tables_and_leads_of_an_article_stay():
+    page = """<article><header><h1>T</h1><p>The lead paragraph, which is long, stands here.</p><div>By Someone</div></header>
+    <p>As stated, <math><mi>E</mi><mo>=</mo><mi>mc</mi><annotation>E=mc</annotation></math> it is, and so on, yes.</p>
+    <p class="related-work">Related work, which is long, is here too.</p><h2 id="social">Social effects</h2>
+    <section id="notice-period"><p>The notice period, of two weeks, is given.</p></section>
+    <table><tr><td><a href="x">A linked name</a></td><td>12</td></tr></table><ol><li><a href="y">The reference</a></li></ol>
+    <div class="share-buttons">Send it on</div><section class="comments"><p>A reader, who has a comment, says so.</p></section></article>"""
+    assert main_text(page).split("\n") == [
+        "T", "The lead paragraph, which is long, stands here.", "As stated, E=mc it is, and so on, yes.",
+        "Related work, which is long, is here too.", "Social effects", "The notice period, of two weeks, is given.",
+        "A linked name", "12", "The reference",
+    ]
+
+
+@pytest.mark.parametrize(
+    "part", ["<a", "<div>", '<p title="x', '<a "> "', "<b><i>x", "</b>", "<li>x<ul>", "<script></script", "<!--x", "<main>y"]
+)
+def test_time_grows_with_the_length_of_broken_pages(part):
+    def seconds(n):
+        start = time.process_time()
+        main_text(part * n + '"')
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 16 * seconds(10_000) + 0.5
+
+
+def test_segments_equal_brute_force_and_take_linear_time():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 30, 60):
+        for _ in range(40):
+            scores = rng.integers(-4, 4, n).astype(float)
+            assert sorted(toxicity.segments(scores)) == sorted(maximal_segments(scores.tolist()))
+
+    def seconds(n):
+        scores = np.where(np.arange(n) % 2 == 0, 1.0, -1.5)
+        start = time.process_time()
+        toxicity.segments(scores)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(160_000) < 16 * seconds(40_000) + 0.2
+
+
+def maximal_segments(scores, at=0):
+    """The best segment (the shortest, then the first), and those left and right of it."""
+    best = max(
+        ((sum(scores[i:j]), -(j - i), -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)),
+        default=(0, 0, 0),
+    )
+    if best[0] <= 0:
+        return []
+    i, j = -best[2], -best[2] - best[1]
+    return [
+        *maximal_segments(scores[:i], at), (at + i, at + j, best[0]), *maximal_segments(scores[j:], at + j),
+    ]
+
+
 def test_linked_blocks_of_the_article_stay():
     page = """<article><h2><a href="#s">Title</a></h2><p>First paragraph, long enough, with words, and commas.</p>
     <ul><li><a href="x">Linked item</a></li><li>A longer item, which has no link in it</li></ul>
