@@ -76,21 +76,25 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, past, score), in one pass.
 
     Candidates are kept with the running sums at their two ends. A new one is merged back to the
-    nearest candidate that starts lower, while its own end is the higher.
+    nearest candidate that starts lower, while its own end is the higher. Each candidate knows the
+    nearest one before it that starts lower; those between are never looked at again.
     """
     sums = np.cumsum(scores)
     out: list[tuple[int, int, float, float]] = []
+    lower: list[int] = []
     for i in np.flatnonzero(scores > 0).tolist():
         first, left, right = i, float(sums[i] - scores[i]), float(sums[i])
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= left:
-                j -= 1
+                j = lower[j]
             if j < 0 or out[j][3] >= right:
                 out.append((first, i + 1, left, right))
+                lower.append(j)
                 break
-            first, left = out[j][0], out[j][2]
-            del out[j:]
+            (first, _, left, _), before = out[j], lower[j]
+            del out[j:], lower[j:]
+            j = before
     return [(a, b, right - left) for a, b, left, right in out]
 
 
