@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posttide.llm.common import WORD
+from posttide.session import lookup_side
 
 # Buckets that words and word pairs are hashed to; the model is one number for each.
 BUCKETS = 1 << 14
@@ -105,11 +106,13 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
+def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Ids of the trusted rows that the model is fitted on, ``rows`` at most, and of all others."""
     ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     order = F.xxhash64(F.lit("trusted"), F.col("doc_id"))
-    half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int")
-    return ids.orderBy(order, "doc_id").limit(rows).withColumn("__half", half)
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)) == 0
+    fit = ids.filter(half).orderBy(order, "doc_id").limit(rows)
+    return fit, ids.join(F.broadcast(fit), "doc_id", "left_anti")
 
 
 def _weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
@@ -118,8 +121,8 @@ def _weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     The raw counts are smoothed by one, the trusted ones by as many pseudo-counts, shared out like
     the raw corpus: with few trusted texts the ratios shrink towards none.
     """
-    fit = trusted.filter("__half = 0").select("doc_id", F.lit(1).alias("__trusted"))
-    flagged = docs.select("doc_id", "text").join(F.broadcast(fit), "doc_id", "left")
+    fit = F.broadcast(trusted.withColumn("__trusted", F.lit(1)))  # TRUSTED_ROWS at most
+    flagged = docs.select("doc_id", "text").join(fit, "doc_id", "left")
     hashes = _hashes(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     counts = (
         flagged.select("__trusted", hashes.alias("__hashes"))
@@ -153,20 +156,20 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Base measures of every document, and whether it is kept.
 
     The model is the log ratio, per hash bucket of words and word pairs, between the texts labelled
-    as trusted and all texts; a text's score is its mean. The threshold comes from the
+    as trusted and all texts; a text's score is its mean. The threshold comes from all
     trusted rows that the model was not fitted on: ``TURNED_AWAY`` of them score less, and it lies
     ``DEVIATIONS`` below their mean at least, which counts where they are few. Null text has no words and fails the base rules, as
     has every text of fewer than 10 words. Repeated rows are judged alike; null ids are never
     trusted. Without trusted rows only the base rules hold. Empty tables give an empty result.
     """
-    trusted = trusted_ids(labels)
-    weights = _weights(docs, trusted)
+    fit, other = trusted_ids(labels)
+    weights = _weights(docs, fit)
     rows = measured(docs)
-    other = trusted.filter("__half = 1").select("doc_id")
-    unseen = docs.select("doc_id", "text").join(F.broadcast(other), "doc_id", "left_semi").select(
+    unseen = docs.select("doc_id", "text").join(lookup_side(other), "doc_id", "left_semi").select(
         _hashes(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("__hashes")
     )
-    scores = unseen.select(_score(F.col("__hashes"), weights).alias("s"))
+    # Rounded, so that the quantile counts a bounded number of different scores.
+    scores = unseen.select(F.round(_score(F.col("__hashes"), weights), 6).alias("s"))
     level = scores.agg(
         F.percentile("s", F.lit(TURNED_AWAY)).alias("low"),
         (F.avg("s") - DEVIATIONS * F.coalesce(F.stddev_samp("s"), F.lit(0.0))).alias("far"),
