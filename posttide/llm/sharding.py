@@ -65,8 +65,11 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard. ``size`` is the text's UTF-8
     bytes plus 1, null text counts as none and has the checksum of no bytes. Rows that repeat an
     id share a shard and have slots of their own; a null id is a key like any other. Slots follow
-    the id's hash, then id, size and checksum, so reruns agree up to equal rows.
+    the id's hash, then id, size and checksum, so reruns agree up to equal rows. Regions have to be
+    full, or a new shard would draw rows to its neighbours too: other numbers of shards are an error.
     """
+    if shards < 1 or shards % (RACKS * PER_RACK):
+        raise ValueError(f"the number of shards has to be a multiple of {RACKS * PER_RACK}")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text"), F.lit(""))
     size, checksum = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))

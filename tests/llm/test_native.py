@@ -123,6 +123,16 @@ def test_shards_and_slots(docs_of):
     assert sharding.shard(docs_of([])).count() == 0
 
 
+def test_one_more_shard_takes_rows_only_into_itself(docs_of):
+    docs = docs_of([(i, "x") for i in range(2000)])
+    for n in (4, 8, 12, 16, 20):
+        moved = sharding.shard(docs, n).filter("shard <> grown_shard").collect()
+        assert moved and {r.grown_shard for r in moved} == {n}
+    for n in (0, 5, 17, 18):
+        with pytest.raises(ValueError, match="multiple"):
+            sharding.shard(docs, n)
+
+
 def test_a_new_weight_moves_rows_only_into_its_subtree(spark):
     from pyspark.sql import functions as F
 
