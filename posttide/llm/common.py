@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import math
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +113,22 @@ def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python a few at a time: some are hundreds of times the usual length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+def releasing(run):
+    """A task function that gives its memory back when it ends.
+
+    Worker processes outlive tasks and stages, and what they have freed would stay theirs: a stage
+    would find the machine full of what earlier ones needed.
+    """
+
+    @wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return out

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from posttide.llm.common import small_batches, stored
+from posttide.llm.common import releasing, small_batches, stored
 from posttide.llm.tokens import encoder
 
 LENGTH = 2048
@@ -43,7 +43,7 @@ def cut_pieces(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     small_batches(docs.sparkSession)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(cut), _PIECES)
     return out if keep_ids else out.drop("ids")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posttide.llm import anchors as an
-from posttide.llm.common import small_batches, stored
+from posttide.llm.common import releasing, small_batches, stored
 from posttide.session import lookup_side
 
 LENGTH, GRAM = 200, 32
@@ -65,7 +65,7 @@ def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 columns[5:] = [x.view(np.int64) for x in columns[5:]]
                 yield _batch(dict(zip(list(_TYPES)[:5] + ["key", "context"], columns, strict=True)), _TYPES)
 
-    return texts.select(*_TEXT_KEY, "__text").mapInArrow(run, _ANCHOR)
+    return texts.select(*_TEXT_KEY, "__text").mapInArrow(releasing(run), _ANCHOR)
 
 
 def _bodies(texts: DataFrame, need: DataFrame, length: int) -> DataFrame:
@@ -92,7 +92,7 @@ def _bodies(texts: DataFrame, need: DataFrame, length: int) -> DataFrame:
                     columns = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return joined.mapInArrow(run, _BODY)
+    return joined.mapInArrow(releasing(run), _BODY)
 
 
 def _strings(batch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def _together(bodies: DataFrame, length: int) -> DataFrame:
 
     tasks = max(1, bodies.sparkSession.sparkContext.defaultParallelism)
     spread = bodies.repartition(4 * tasks, "key").sortWithinPartitions("key")
-    return spread.mapInArrow(run, _SPAN)
+    return spread.mapInArrow(releasing(run), _SPAN)
 
 
 def _one_by_one(bodies: DataFrame, length: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _one_by_one(bodies: DataFrame, length: int) -> DataFrame:
             out = _batch({**columns, "first": start, "key": rank.view(np.int64)}, _TYPES)
             yield out.append_column("many", pa.array(many))
 
-    rows = bodies.mapInArrow(run, "h1 long, h2 long, first int, key long, many boolean")
+    rows = bodies.mapInArrow(releasing(run), "h1 long, h2 long, first int, key long, many boolean")
     rows = stored(rows, "strings")
     twice = rows.groupBy("key").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).filter("n > 1")
     kept = rows.filter("NOT many").join(twice, "key", "left_semi")
@@ -239,7 +239,7 @@ def _cut(docs: DataFrame, length: int, gram: int, together: int) -> DataFrame:
     hit = texts.join(keys, _TEXT_KEY, "left_semi").join(spans, _TEXT_KEY).select("__row", "__text", "spans")
     kind = texts.schema["__row"].dataType.simpleString()
     more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return hit.mapInArrow(cut, f"__row {kind}, {more}").unionByName(rest)
+    return hit.mapInArrow(releasing(cut), f"__row {kind}, {more}").unionByName(rest)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, together: int = TOGETHER) -> DataFrame:

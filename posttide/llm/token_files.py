@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posttide.llm import elias_fano
-from posttide.llm.common import small_batches
+from posttide.llm.common import releasing, small_batches
 from posttide.llm.tokens import encoder
 
 END = 1
@@ -90,7 +90,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = END) -> Dat
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(releasing(write), _MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posttide.llm.common import small_batches, stored
+from posttide.llm.common import releasing, small_batches, stored
 
 # Labelled rows the model is fitted on, at most; those with the least hash of doc_id.
 MODEL_ROWS = 50_000
@@ -148,7 +148,7 @@ def _term_scores(train: DataFrame) -> tuple[dict[str, float], list[tuple[float,
                 ["term", "toxic", "clean"],
             )
 
-    rows = train.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long")
+    rows = train.select("text", "toxic").mapInArrow(releasing(count), "term string, toxic long, clean long")
     sums = stored(rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "terms")
     words = sums.filter("NOT startswith(term, '^')").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     t, c = words["t"] or 0, words["c"] or 0
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MODEL_ROWS) -> Model:
                 ["toxic", "n", "best", "total"],
             )
 
-    got = train.select("text", "toxic").mapInArrow(measure, "toxic int, n long, best double, total double")
+    got = train.select("text", "toxic").mapInArrow(releasing(measure), "toxic int, n long, best double, total double")
     got = got.collect()  # at most ``rows`` rows of four numbers
     got.sort()
     y, n, best, total = (np.array([r[k] for r in got], float) for k in range(4))
@@ -269,7 +269,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     passages = "array<struct<first:int,past:int,score:double>>"
-    return rows.mapInArrow(run, f"__row {kind}, toxic_score double, toxic int, passages {passages}")
+    return rows.mapInArrow(releasing(run), f"__row {kind}, toxic_score double, toxic int, passages {passages}")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
