@@ -11,6 +11,7 @@ from posttide.checks.shape import finish
 from posttide.checks.text import sql_feed_text, sql_fold
 from posttide.operators import search
 from posttide.params import SearchParams, source_query_column, tags_column
+from posttide.session import working_folder
 from posttide.sources import posts as landed
 
 _NOW = datetime(2024, 1, 20, 12, 0, tzinfo=timezone.utc)
@@ -222,7 +223,54 @@ def _feed_quarantine(spark, sf_dir):
     return bad.select("item_idx", "title", "published_at")
 
 
+def _landed_pages(spark, sf_dir):
+    """The pages as files, an array of pages each, read back."""
+    folder = working_folder(spark, "pages")
+    one = F.to_json(F.struct("data", "includes", "errors"))
+    grouped = _pages(spark, sf_dir).groupBy((F.xxhash64("page_key") % 20).alias("file"))
+    files = grouped.agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))
+    files.write.partitionBy("file").text(folder)
+    pages = landed.read_api_pages(spark, f"{folder}/*/*")
+    posts = landed.posts_from_pages(pages)
+    author = F.get_json_object("raw_payload", "$.author.name")
+    return finish(posts.withColumn("author", author).drop("raw_payload", "page_key"))
+
+
+def _landed_feed(spark, sf_dir):
+    """The feed items as files of one channel each, read back."""
+    folder = working_folder(spark, "feeds")
+
+    def escaped(c):
+        for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(plain), F.lit(entity))
+        return c
+
+    def tag(name, c):
+        return F.coalesce(F.concat(F.lit(f"<{name}>"), escaped(c), F.lit(f"</{name}>")), F.lit(""))
+
+    source = F.concat(
+        F.lit('<source url="'), escaped(F.col("source._url")), F.lit('">'),
+        escaped(F.coalesce("source._VALUE", F.lit(""))), F.lit("</source>"),
+    )
+    item = F.concat(
+        F.lit("<item>"), *[tag(c, F.col(c)) for c in ("title", "link", "guid", "pubDate", "description")], source,
+        F.lit("</item>"),
+    )
+    grouped = _items(spark, sf_dir).groupBy((F.col("item_idx") % 10).alias("file"))
+    channel = F.concat(
+        F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")
+    )
+    # One line for a file: a feed's own line breaks are white space to the cleaning.
+    files = grouped.agg(F.regexp_replace(channel, "[\\r\\n]", " ").alias("value"))
+    files.write.partitionBy("file").text(folder)
+    posts = landed.posts_from_feed(landed.read_feed_items(spark, f"{folder}/*/*"), _NOW, "q")
+    kind = F.get_json_object("raw_payload", "$.source_type")
+    return finish(posts.withColumn("source_type", kind).drop("raw_payload", "item_idx", "page_key"))
+
+
 QUERIES = {
+    "landed_pages": _landed_pages,
+    "landed_feed": _landed_feed,
     "search_filter": _search_filter,
     "date_window": _date_window,
     "recent_window": _recent_window,
@@ -370,3 +418,5 @@ SQL = {
       SELECT item_idx, title, published AS published_at
       FROM items WHERE title <> '' AND published = 'last week'""",
 }
+SQL["landed_pages"] = f"SELECT * EXCLUDE (page_key) FROM ({SQL['api_page_posts']})"
+SQL["landed_feed"] = f"SELECT * EXCLUDE (item_idx) FROM ({SQL['feed_posts']})"

@@ -9,6 +9,7 @@ from posttide.checks.analytics import T_LINKS, T_TWEETS
 from posttide.checks.shape import finish
 from posttide.functions import text as t
 from posttide.operators import state
+from posttide.session import working_folder
 from posttide.sinks import exports
 
 
@@ -161,6 +162,16 @@ def _export_rows(spark, sf_dir):
     return finish(exports.processed_rows(tweets))
 
 
+def _read_back(spark, sf_dir):
+    """A processed export, as files, read back."""
+    tweets = v.tweets(spark, sf_dir).withColumns(
+        {"tokens": F.split("content", " "), "sentiment_metadata": F.lit("{}")}
+    )
+    path = exports.export_processed(tweets, f"{working_folder(spark, 'exports')}/posts.csv")
+    rows = exports.read_export(spark, path, limit=2_000_000_000)
+    return rows.select("tweet_id", "created_at", "username", "content", "tokens", "sentiment_label")
+
+
 def _raw_export(spark, sf_dir):
     """Payloads of two shapes, as one table."""
     rows = v.table(spark, sf_dir, "events")
@@ -183,6 +194,7 @@ def _utc_text(spark, sf_dir):
 
 
 QUERIES = {
+    "export_read_back": _read_back,
     "raw_export_rows": _raw_export,
     "payload_union": _payload_union,
     "utc_text": _utc_text,
@@ -267,6 +279,11 @@ SQL = {
         coalesce(nullif(left(lower(trim(regexp_replace(text, '[^a-zA-Z0-9]+', '_', 'g'), '_')),
                              80), ''), 'tweets') || '_20240304T050607Z.csv' AS name
       FROM documents""",
+    "export_read_back": f"""WITH {T_TWEETS}
+      SELECT tweet_id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, username, content,
+             '["' || array_to_string(list_transform(string_split(content, ' '),
+                     lambda w: replace(w, '"', '\\"')), '","') || '"]' AS tokens, sentiment_label
+      FROM t_tweets""",
     "export_rows": f"""WITH {T_TWEETS}
       SELECT tweet_id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, username,
              display_name, content, cleaned_text,

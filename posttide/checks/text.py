@@ -189,7 +189,31 @@ def _sql_split_word() -> str:
     return f"CASE {cases} ELSE [w] END"
 
 
+_RARE = (("fi", "ﬁ"), ("ss", "ß"), ("s", "ſ"), ("k", "\u212a"))
+
+
+def _folded_letters(spark, sf_dir):
+    """Keys of documents whose letters were replaced by ones that only full folding brings back."""
+    docs = v.texts(spark, sf_dir, "documents", "doc_id", "text")
+    odd = F.lower("text")
+    for plain, rare in _RARE:
+        odd = F.replace(odd, F.lit(plain), F.lit(rare))
+    return docs.select("doc_id", t.text_key(odd).alias("key"))
+
+
+def _tagged(spark, sf_dir):
+    """Documents in which tags, mentions, emoji and links stand between and inside of words."""
+    docs = v.texts(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    marked = F.concat(
+        F.lit("#"), "source", F.lit(" "), F.regexp_replace("text", " ([aeiou])", " @$1 \U0001f600"),
+        F.lit(" www.example.com/x #"), "lang", F.lit(", #é1 @"), "lang",
+    )
+    return docs.select("doc_id", t.clean_text(marked).alias("cleaned_text"))
+
+
 QUERIES = {
+    "folded_letters": _folded_letters,
+    "clean_tagged": _tagged,
     "clean_text": _clean("documents", "text", ("doc_id",)),
     "clean_text_conversations": _clean("conversations", "text", ("conv_id", "turn")),
     "clean_text_pages": _clean("pages", "html", ("page_id",)),
@@ -206,7 +230,14 @@ QUERIES = {
 
 _TITLE = sql_feed_text("regexp_extract(html, '<title>(.*?)</title>', 1)")
 
+_TAGGED = (
+    "'#' || source || ' ' || regexp_replace(text, ' ([aeiou])', ' @\\1 \U0001f600', 'g') "
+    "|| ' www.example.com/x #' || lang || ', #é1 @' || lang"
+)
+
 SQL = {
+    "folded_letters": f"SELECT doc_id, {sql_key('text')} AS key FROM documents",
+    "clean_tagged": f"SELECT doc_id, {sql_clean(_TAGGED)} AS cleaned_text FROM documents",
     "clean_text": f"SELECT doc_id, {sql_clean('text')} AS cleaned_text FROM documents",
     "clean_text_conversations": f"""SELECT conv_id, turn, {sql_clean('text')} AS cleaned_text
       FROM conversations""",

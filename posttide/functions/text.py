@@ -150,18 +150,34 @@ def _folded(texts: pd.Series) -> pd.Series:
 
 
 @cache
-def _folds_otherwise() -> str:
-    return _code_points(lambda x: x.casefold() != x.lower())
+def _single_folds() -> tuple[str, str]:
+    """Lower-cased letters that fold to another letter, and those letters."""
+    pairs = {}
+    for code in range(0x80, 0x110000):
+        if not 0xD800 <= code < 0xE000:
+            lower, folded = chr(code).lower(), chr(code).casefold()
+            if lower != folded and len(lower) == len(folded) == 1:
+                pairs[lower] = folded
+    return "".join(pairs), "".join(pairs.values())
+
+
+@cache
+def _folds_to_more() -> str:
+    """Letters that fold to several, but for sharp s."""
+    return _code_points(lambda x: x not in "ßẞ" and x.casefold() != x.lower() and len(x.casefold()) > 1)
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding; only texts with letters that fold otherwise than by case leave the JVM.
+    """Full case folding.
 
-    The optimizer takes ``lower(upper(x))`` for ``lower(x)``, so the letters that upper-casing
-    would have changed are folded after lower-casing as well.
+    Text of ASCII letters alone is lower-cased. In other texts sharp s and the letters that fold to
+    one other letter are replaced; only texts with ligatures and the like leave the JVM.
     """
-    lower = F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ")
-    return F.coalesce(_folded(F.when(c.rlike(_folds_otherwise()), c)), lower)
+    lower = F.lower(c)
+    single = F.translate(F.replace(lower, F.lit("ß"), F.lit("ss")), *_single_folds())
+    ascii_only = F.octet_length(c) == F.length(c)
+    other = ~ascii_only & c.rlike(_folds_to_more())
+    return F.coalesce(_folded(F.when(other, c)), F.when(ascii_only, lower).otherwise(single))
 
 
 def text_key(c: Column) -> Column:
