@@ -175,7 +175,8 @@ def casefold(c: Column) -> Column:
     """
     lower = F.lower(c)
     single = F.translate(F.replace(lower, F.lit("ß"), F.lit("ss")), *_single_folds())
-    ascii_only = F.octet_length(c) == F.length(c)
+    # Of the lower-cased text, as the optimizer takes ``lower(upper(x))`` for ``lower(x)``.
+    ascii_only = F.octet_length(lower) == F.length(lower)
     other = ~ascii_only & c.rlike(_folds_to_more())
     return F.coalesce(_folded(F.when(other, c)), F.when(ascii_only, lower).otherwise(single))
 
