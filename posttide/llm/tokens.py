@@ -9,17 +9,19 @@ import unicodedata
 
 import numpy as np
 
-# Words remembered by a worker, and the longest that is.
-WORDS_KEPT, LONGEST_KEPT = 200_000, 64
+from posttide.llm import anchors as an
+
+# Words remembered by a worker, and the longest that is, in bytes.
+WORDS_KEPT, LONGEST_KEPT = 300_000, 64
+
+# Bytes of texts whose words are looked up together.
+_TOGETHER = 2 << 20
 
 # A space between two white-space characters belongs to their run; the text is then not cut.
 _RUN = re.compile(r"\s (?:\s|$)")
-# What a word must not hold to be told apart in a line: white space, the mark's digit, and marks
-# that combine with what stands before them.
-_ODD = re.compile(r"[\s0\u0300-\u036f]")
-
-# Marks a word that no space stands before; texts that hold it are encoded whole.
-_FIRST = "\x01"
+# What a word must not hold to be told apart in a line: white space; and where texts are normalized,
+# the mark's digit, and marks that combine with what stands before them.
+_BLANK, _ODD = re.compile(r"\s"), re.compile(r"[\s0\u0300-\u036f]")
 
 # New words that are encoded as one line.
 _LINE = 256
@@ -30,8 +32,9 @@ class Encoder:
 
     Two kinds of tokenizers never build a token across the start of a space: byte-level ones, whose
     tokens may begin with one space, and those that drop white space. Their texts are cut there,
-    and only words not met before are encoded. Texts of other tokenizers, and texts that hold a
-    special token or a run of white space around a space, are encoded whole.
+    and only words not met before are encoded, each at most once in two megabytes of texts. Texts
+    of other tokenizers, and texts that hold a special token or a run of white space around a space,
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -50,91 +53,163 @@ class Encoder:
         self._spaced = byte_level and not before.get("add_prefix_space") and normal == "null"
         self._dropped = drops and r"\\s+" in normal
         self._special = [t["content"] for t in described.get("added_tokens", [])]
-        # Stands between words in a line: no word holds its text, so no word has its token.
-        self._mark = self._tokenizer.encode("\n\n" if self._spaced else "0", add_special_tokens=False).ids[0]
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Plain words are encoded many to a line, and told apart by a token of their own kind."""
-        plain, odd = [], []
-        for word in words:
-            body = word[1:] if word[:1] == " " else word
-            simple = (body is not word or self._dropped) and body and not _ODD.search(body)
-            if simple and (body.isascii() or unicodedata.is_normalized("NFC", body)):
-                plain.append(word)
-            else:
-                odd.append(word)
-        out = dict(zip(odd, self._encode(odd), strict=True))
-        lines = [plain[i : i + _LINE] for i in range(0, len(plain), _LINE)]
-        mark = "\n\n" if self._spaced else " 0 "
+    def _lines(self, words: list[str], mark: str, out: dict[str, bytes]) -> None:
+        """Encode plain words many to a line, told apart by a mark that none of them holds."""
+        if not words:
+            return
+        token = self._tokenizer.encode(mark, add_special_tokens=False).ids[0]
+        lines = [words[i : i + _LINE] for i in range(0, len(words), _LINE)]
         found = self._tokenizer.encode_batch_fast(
             [mark.join([*line, ""]) for line in lines], add_special_tokens=False
         )
         for line, encoded in zip(lines, found, strict=True):
             ids = np.asarray(encoded.ids, dtype="<u4")
-            data, ends = ids.tobytes(), np.flatnonzero(ids == self._mark).tolist()
+            data, ends = ids.tobytes(), np.flatnonzero(ids == token).tolist()
             at = 0
             for word, end in zip(line, ends, strict=True):
                 out[word] = data[4 * at : 4 * end]
                 at = end + 1
-        return out
-
-    def _parts(self, text: str) -> list[str] | None:
-        """Words to look up, the first one marked; None for a text to be encoded whole.
 
-        A word of a byte-level tokenizer stands for itself behind a space; the first one, and those
-        that begin with a line break, stand for themselves alone.
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words. Behind a space and alone, words have marks of their own kind."""
+        spaced, bare, odd = [], [], []
+        for i in range(0, len(words), _LINE):
+            line = words[i : i + _LINE]
+            bodies = [w[1:] if w[:1] == " " else w for w in line]
+            plain = all(bodies) and self._told_apart("".join(bodies))
+            for word, body in zip(line, bodies, strict=True):
+                if not (plain or body and self._told_apart(body)):
+                    odd.append(word)
+                elif body is word:
+                    bare.append(word)
+                else:
+                    spaced.append(word)
+        out = dict(zip(odd, self._encode(odd), strict=True))
+        self._lines(spaced, "\n\n", out)
+        self._lines(bare, "\n" if self._spaced else " 0 ", out)
+        return [out[word] for word in words]
+
+    def _told_apart(self, text: str) -> bool:
+        if self._spaced:
+            return not _BLANK.search(text)
+        return not _ODD.search(text) and (text.isascii() or unicodedata.is_normalized("NFC", text))
+
+    def _is_cut(self, text: str) -> bool:
+        if any(x in text for x in self._special):
+            return False
+        return self._dropped or self._spaced and not (" " in text and _RUN.search(text))
+
+    def _words(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end in texts that stand one after another, none of them empty.
+
+        A word of a byte-level tokenizer holds the space before it. White space that ends in a line
+        break has that break for its last token, so a break before a letter stands alone; and white
+        space behind a letter begins a token.
         """
-        if any(x in text for x in self._special) or not (self._spaced or self._dropped):
-            return None
+        begins = data == 32
         if self._dropped:
-            return text.replace("\n", " ").split(" ")
-        if _FIRST in text or " " in text and _RUN.search(text):
-            return None
-        if "\n" in text:
-            if " \n" in text or "\n\n" in text:
-                first, *rest = text.split(" ")
-                return [_FIRST + first, *[x if x[:1] != "\n" else f"{_FIRST} {x}" for x in rest]]
-            text = text.replace("\n", " \n")
-        parts = text.split(" ")
-        parts[0] = _FIRST + parts[0]
-        return parts
-
-    def _alone(self, part: str) -> str:
-        """The text that a word to look up stands for."""
-        if self._dropped or part[:1] == "\n":
-            return part
-        return part[1:] if part[:1] == _FIRST else f" {part}"
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self._parts(x) for x in texts]
+            begins |= data == 10
+            gaps = begins.copy()
+        else:
+            line, seen = np.flatnonzero(data == 10), (data > 32) & (data < 128)
+            after, before = line + 1, line - 1
+            inside = np.isin(after, edges, invert=True)
+            last = line[inside & seen[after % len(data)]]
+            begins[last] = begins[last + 1] = True
+            begins[line[seen[before]]] = True
+        begins[edges[:-1]] = True
+        first = np.flatnonzero(begins)
+        past = np.append(first[1:], len(data))
+        return (first + gaps[first] if self._dropped else first), past
+
+    def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words, from memory where they are there."""
         if len(self._known) > WORDS_KEPT:
             self._known, self._older = {}, self._known
         known, older = self._known, self._older
-        met = set().union(*[parts for parts in cut if parts])
+        found = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         new = []
-        for p in met.difference(known):
-            if p in older:
-                known[p] = older[p]
+        for i in missing:
+            ids = older.get(words[i])
+            if ids is None:
+                new.append(i)
             else:
-                new.append(p)
-        alone = [self._alone(p) for p in new]
-        encoded = self._encode_words(list(set(alone)))
-        at_hand = {p: encoded[x] for p, x in zip(new, alone, strict=True)}
-        known.update((p, ids) for p, ids in at_hand.items() if len(p) <= LONGEST_KEPT)
-        if any(len(p) > LONGEST_KEPT for p in new):
-            known = {**{p: known[p] for p in met if p in known}, **at_hand}
-        get = known.__getitem__
-        return [
-            b"".join(map(get, parts)) if parts is not None else self._encode([text])[0]
-            for text, parts in zip(texts, cut, strict=True)
-        ]
+                known[words[i]] = found[i] = ids
+        encoded = self._encode_words([words[i].decode() for i in new])
+        for i, ids in zip(new, encoded, strict=True):
+            found[i] = ids
+            if len(words[i]) <= LONGEST_KEPT:
+                known[words[i]] = ids
+        return found
+
+    def _cut_ids(self, texts: list[str], coded: list[bytes]) -> list[bytes]:
+        """Ids of texts that are cut into words: different words are looked up once, then spread."""
+        whole = b"".join(coded)
+        data = np.frombuffer(whole, np.uint8)
+        edges = np.cumsum([0, *map(len, coded)])
+        first, past = self._words(data, edges)
+        hashes = an.span_hashes(*an.prefix_hashes(data), first, past)
+        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        size = past - first
+        if not _same(data, first, size, one[which]):  # two words with one hash
+            return self._encode(texts)
+        ends = zip(first[one].tolist(), past[one].tolist(), strict=True)
+        found = self._looked_up([whole[a:b] for a, b in ends])
+        table = np.frombuffer(b"".join(found), "<u4")
+        counts = np.array([len(x) >> 2 for x in found], np.int64)
+        flat = table[_spread((np.cumsum(counts) - counts)[which], counts[which])].tobytes()
+        tokens = np.concatenate([[0], np.cumsum(counts[which])])
+        cuts = (4 * tokens[np.searchsorted(past, edges, "right")]).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        together: list[tuple[int, bytes]] = []
+        held = 0
+
+        def flush() -> None:
+            at = [i for i, _ in together]
+            for i, ids in zip(at, self._cut_ids([texts[i] for i in at], [x for _, x in together]), strict=True):
+                out[i] = ids
+            together.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self._is_cut(text):
+                out[i] = self._encode([text])[0]
+                continue
+            coded = text.encode()
+            if together and held + len(coded) > _TOGETHER:
+                flush()
+                held = 0
+            together.append((i, coded))
+            held += len(coded)
+        if together:
+            flush()
+        return out
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def _same(data: np.ndarray, first: np.ndarray, size: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each span holds the bytes of the span it is taken for."""
+    if not np.array_equal(size, size[like]):
+        return False
+    return np.array_equal(data[_spread(first, size)], data[_spread(first[like], size)])
 
 
 _encoders: dict[str, Encoder] = {}
