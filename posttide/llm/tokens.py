@@ -11,8 +11,8 @@ import numpy as np
 
 from posttide.llm import anchors as an
 
-# Words remembered by a worker, and the longest that is, in bytes.
-WORDS_KEPT, LONGEST_KEPT = 300_000, 64
+# Words remembered by a worker twice, as newer and older ones, and the longest that is, in bytes.
+WORDS_KEPT, LONGEST_KEPT = 500_000, 64
 
 # Bytes of texts whose words are looked up together.
 _TOGETHER = 2 << 20
@@ -23,10 +23,53 @@ _RUN = re.compile(r"\s (?:\s|$)")
 # the mark's digit, and marks that combine with what stands before them.
 _BLANK, _ODD = re.compile(r"\s"), re.compile(r"[\s0\u0300-\u036f]")
 
+# How byte-level vocabularies write a space.
+_SPACE = "\u0120"
+
 # New words that are encoded as one line.
 _LINE = 256
 
 
+class _Memory:
+    """Words met before and their ids, side by side in arrays, found by the words' hashes."""
+
+    def __init__(self):
+        self.hashes, self._index = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._words, self._first = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        self._size, self._begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple:
+        """Which of the words are here, where their ids begin, and how many there are."""
+        at = np.searchsorted(self.hashes, hashes)
+        here = np.flatnonzero(at < len(self.hashes))
+        here = here[self.hashes[at[here]] == hashes[here]]
+        index = self._index[at[here]]
+        alike = self._size[index] == size[here]
+        here, index = here[alike], index[alike]
+        spans = _spread(first[here], size[here]), _spread(self._first[index], size[here])
+        differs = data[spans[0]] != self._words[spans[1]]
+        if differs.any():  # another word with the same hash: not here
+            of = np.repeat(np.arange(len(here)), size[here])
+            alike = np.bincount(of[differs], minlength=len(here)) == 0
+            here, index = here[alike], index[alike]
+        return here, self._begin[index], self._count[index]
+
+    def add(
+        self, hashes: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray
+    ) -> None:
+        """Words in the order of their hashes, and their ids, one word's behind the other's."""
+        index = np.arange(len(self._size), len(self._size) + len(size), dtype=np.int32)
+        joined = np.concatenate([self.hashes, hashes])
+        order = np.argsort(joined, kind="stable")
+        self.hashes, self._index = joined[order], np.concatenate([self._index, index])[order]
+        self._first = np.concatenate([self._first, len(self._words) + np.cumsum(size) - size])
+        self._words = np.concatenate([self._words, data[_spread(first, size)]])
+        self._begin = np.concatenate([self._begin, len(self.ids) + np.cumsum(count) - count])
+        self.ids = np.concatenate([self.ids, ids])
+        self._size, self._count = np.concatenate([self._size, size]), np.concatenate([self._count, count])
+
+
 class Encoder:
     """Encodes texts as the tokenizer does, looking repeated words up.
 
@@ -53,48 +96,69 @@ class Encoder:
         self._spaced = byte_level and not before.get("add_prefix_space") and normal == "null"
         self._dropped = drops and r"\\s+" in normal
         self._special = [t["content"] for t in described.get("added_tokens", [])]
-        self._known: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}
+        self._opens = np.zeros(max(self._tokenizer.get_vocab().values(), default=0) + 1, bool)
+        self._opens[[i for x, i in self._tokenizer.get_vocab().items() if x.startswith(_SPACE)]] = True
+        self._blank = np.zeros(256, bool)
+        self._blank[[*range(9, 14), *range(28, 33), *[48] * self._dropped]] = True
+        self._newer, self._older = _Memory(), _Memory()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _lines(self, words: list[str], mark: str, out: dict[str, bytes]) -> None:
-        """Encode plain words many to a line, told apart by a mark that none of them holds."""
-        if not words:
-            return
-        token = self._tokenizer.encode(mark, add_special_tokens=False).ids[0]
-        lines = [words[i : i + _LINE] for i in range(0, len(words), _LINE)]
-        found = self._tokenizer.encode_batch_fast(
-            [mark.join([*line, ""]) for line in lines], add_special_tokens=False
-        )
-        for line, encoded in zip(lines, found, strict=True):
-            ids = np.asarray(encoded.ids, dtype="<u4")
-            data, ends = ids.tobytes(), np.flatnonzero(ids == token).tolist()
-            at = 0
-            for word, end in zip(line, ends, strict=True):
-                out[word] = data[4 * at : 4 * end]
-                at = end + 1
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of different words. Behind a space and alone, words have marks of their own kind."""
-        spaced, bare, odd = [], [], []
-        for i in range(0, len(words), _LINE):
-            line = words[i : i + _LINE]
-            bodies = [w[1:] if w[:1] == " " else w for w in line]
-            plain = all(bodies) and self._told_apart("".join(bodies))
-            for word, body in zip(line, bodies, strict=True):
-                if not (plain or body and self._told_apart(body)):
-                    odd.append(word)
-                elif body is word:
-                    bare.append(word)
-                else:
-                    spaced.append(word)
-        out = dict(zip(odd, self._encode(odd), strict=True))
-        self._lines(spaced, "\n\n", out)
-        self._lines(bare, "\n" if self._spaced else " 0 ", out)
-        return [out[word] for word in words]
+    def _lines(self, data: np.ndarray, first: np.ndarray, size: np.ndarray, mark: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words and how many each has, encoded many words to a line.
+
+        Words are told apart by a mark behind each that none of them holds; without one, each
+        begins with a space, and its first token alone does so too.
+        """
+        if not len(first):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        past = np.cumsum(size + len(mark))
+        line = np.empty(past[-1], np.uint8)
+        line[_spread(past - size - len(mark), size)] = data[_spread(first, size)]
+        for k, byte in enumerate(mark):
+            line[past - len(mark) + k] = byte
+        cuts, whole = [0, *past[_LINE - 1 :: _LINE].tolist()], line.tobytes()
+        if cuts[-1] < len(whole):
+            cuts.append(len(whole))
+        texts = [whole[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.asarray(x.ids, dtype=np.uint32) for x in found])
+        if not mark:
+            return ids, np.diff(np.flatnonzero(self._opens[ids]), append=len(ids))
+        marks = ids == self._tokenizer.encode(mark.decode(), add_special_tokens=False).ids[0]
+        return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+
+    def _plain(self, data: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+        """Which words can be told apart in a line."""
+        blanks = np.concatenate([[0], np.cumsum(self._blank[data], dtype=np.int32)])
+        others = np.concatenate([[0], np.cumsum(data > 127, dtype=np.int32)])
+        plain = (past > first) & (blanks[past] == blanks[first])
+        some = np.flatnonzero(plain & (others[past] > others[first]))
+        for i in range(0, len(some), _LINE):
+            part = some[i : i + _LINE]
+            size = past[part] - first[part]
+            if not self._told_apart(data[_spread(first[part], size)].tobytes().decode()):
+                words = (data[a:b].tobytes().decode() for a, b in zip(first[part], past[part], strict=True))
+                plain[part] = [self._told_apart(word) for word in words]
+        return plain
+
+    def _encode_words(self, data: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one word's behind the other's, and how many each has."""
+        spaced = (past > first) & (data[np.minimum(first, len(data) - 1)] == 32)  # the last may be empty
+        plain = self._plain(data, first + spaced, past)
+        kinds = [np.flatnonzero(plain & spaced), np.flatnonzero(plain & ~spaced), np.flatnonzero(~plain)]
+        marks = (b"" if self._spaced else b" 0 ", b"\n" if self._spaced else b" 0 ")
+        parts = [
+            self._lines(data, first[at], past[at] - first[at], mark) for at, mark in zip(kinds, marks, strict=False)
+        ]
+        odd = self._encode([data[a:b].tobytes().decode() for a, b in zip(first[kinds[2]], past[kinds[2]], strict=True)])
+        parts.append((np.frombuffer(b"".join(odd), "<u4"), np.array([len(x) >> 2 for x in odd], np.int64)))
+        place, counts = np.concatenate(kinds), np.concatenate([x for _, x in parts])
+        begin, order = np.cumsum(counts) - counts, np.argsort(place)
+        ids = np.concatenate([x for x, _ in parts])
+        return ids[_spread(begin[order], counts[order])], counts[order]
 
     def _told_apart(self, text: str) -> bool:
         if self._spaced:
@@ -129,26 +193,31 @@ class Encoder:
         past = np.append(first[1:], len(data))
         return (first + gaps[first] if self._dropped else first), past
 
-    def _looked_up(self, words: list[bytes]) -> list[bytes]:
-        """Ids of different words, from memory where they are there."""
-        if len(self._known) > WORDS_KEPT:
-            self._known, self._older = {}, self._known
-        known, older = self._known, self._older
-        found = list(map(known.get, words))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        new = []
-        for i in missing:
-            ids = older.get(words[i])
-            if ids is None:
-                new.append(i)
-            else:
-                known[words[i]] = found[i] = ids
-        encoded = self._encode_words([words[i].decode() for i in new])
-        for i, ids in zip(new, encoded, strict=True):
-            found[i] = ids
-            if len(words[i]) <= LONGEST_KEPT:
-                known[words[i]] = ids
-        return found
+    def _looked_up(self, hashes: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple:
+        """A table of ids, and where in it each of the different words begins and how many ids it
+        has, from memory where they are there. Words come in the order of their hashes."""
+        if len(self._newer.hashes) > WORDS_KEPT:
+            self._newer, self._older = _Memory(), self._newer
+        begin, count = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        here, at, n = self._newer.find(hashes, data, first, size)
+        begin[here], count[here] = at, n
+        new = np.ones(len(first), bool)
+        new[here] = False
+        rest = np.flatnonzero(new)
+        old, at, n = self._older.find(hashes[rest], data, first[rest], size[rest])
+        moved = self._older.ids[_spread(at, n)]
+        old, rest = rest[old], np.delete(rest, old)
+        ids, counts = self._encode_words(data, first[rest], first[rest] + size[rest])
+        fresh, ids = np.concatenate([old, rest]), np.concatenate([moved, ids])
+        counts = np.concatenate([n, counts])
+        begin[fresh] = len(self._newer.ids) + np.cumsum(counts) - counts
+        count[fresh] = counts
+        table = np.concatenate([self._newer.ids, ids])
+        kept = fresh[size[fresh] <= LONGEST_KEPT]
+        kept.sort()
+        kept_ids = table[_spread(begin[kept], count[kept])]
+        self._newer.add(hashes[kept], data, first[kept], size[kept], kept_ids, count[kept])
+        return table, begin, count
 
     def _cut_ids(self, texts: list[str], coded: list[bytes]) -> list[bytes]:
         """Ids of texts that are cut into words: different words are looked up once, then spread."""
@@ -157,15 +226,12 @@ class Encoder:
         edges = np.cumsum([0, *map(len, coded)])
         first, past = self._words(data, edges)
         hashes = an.span_hashes(*an.prefix_hashes(data), first, past)
-        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        different, one, which = np.unique(hashes, return_index=True, return_inverse=True)
         size = past - first
         if not _same(data, first, size, one[which]):  # two words with one hash
             return self._encode(texts)
-        ends = zip(first[one].tolist(), past[one].tolist(), strict=True)
-        found = self._looked_up([whole[a:b] for a, b in ends])
-        table = np.frombuffer(b"".join(found), "<u4")
-        counts = np.array([len(x) >> 2 for x in found], np.int64)
-        flat = table[_spread((np.cumsum(counts) - counts)[which], counts[which])].tobytes()
+        table, begin, counts = self._looked_up(different, data, first[one], size[one])
+        flat = table[_spread(begin[which], counts[which])].astype("<u4", copy=False).tobytes()
         tokens = np.concatenate([[0], np.cumsum(counts[which])])
         cuts = (4 * tokens[np.searchsorted(past, edges, "right")]).tolist()
         return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]

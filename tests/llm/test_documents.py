@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 import zlib
 from collections import defaultdict
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from posttide.llm import elias_fano, packing, token_files, toxicity
+from posttide.llm import elias_fano, packing, token_files, tokens, toxicity
 from posttide.llm.html_text import extract, main_text
 from posttide.llm.tokens import Encoder
 
@@ -177,6 +178,27 @@ def test_encoder_gives_the_tokenizers_ids(path):
     assert fast.ids(ODD) == want and fast.ids(ODD[::-1]) == want[::-1]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_forgotten_and_colliding_words_keep_their_ids(path, monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 40)
+    monkeypatch.setattr(tokens, "_TOGETHER", 300)
+    rng = random.Random(3)
+    signs = ["a", "bc", "D", " ", " ", " ", "  ", "\n", "0", "é", "e\u0301", "'s", ".", "\t", "\u00a0", "日", "x" * 70]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(3000)]
+    ours, plain = Encoder(path), Tokenizer.from_file(path)
+    want = [np.asarray(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert ours.ids(texts) == want and ours.ids(texts[::-1]) == want[::-1]
+    for text in ["x ", "x\n", " ", "\n"]:
+        ids = np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert Encoder(path).ids([text]) == ours.ids([text]) == [ids]
+    memory = tokens._Memory()
+    data, one, two = np.frombuffer(b" ab cd", np.uint8), np.array([0]), np.array([3])
+    size, same = np.array([3]), np.array([7], np.uint64)
+    memory.add(same, data, one, size, np.array([5, 6], np.uint32), np.array([2]))
+    assert [x.tolist() for x in memory.find(same, data, one, size)] == [[0], [0], [2]]
+    assert [x.tolist() for x in memory.find(same, data, two, size)] == [[], [], []]
+
+
 def _packed(rows, length):
     spans, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
