@@ -72,6 +72,13 @@ def test_vote_ties(spark):
     assert got == {"a A": ("negative", 1), "b": ("positive", 2), "STRASSE": ("positive", 1)}
 
 
+def test_texts_move_once_before_their_terms_are_counted(spark):
+    df = spark.createDataFrame([("a", "Éa ab")], "id string, text string")
+    plan = ft.term_counts(df, ["id"], "text")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moved) == 2 and all("REPARTITION_BY_NUM" in line for line in moved)  # one for each block
+
+
 def test_term_counts_agree_with_plain_counting(spark):
     texts = ["Café déjà vu, Café!", "a bb ccc  dddd\n", "", "ÀÉ x_1 ²"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
