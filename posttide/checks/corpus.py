@@ -9,7 +9,7 @@ from posttide import testviews as v
 from posttide.checks.shape import finish
 from posttide.checks.text import sql_key
 from posttide.operators import corpus
-from posttide.session import working_folder
+from posttide.session import working_folder, written
 from posttide.sources.labeled import labeled_frames, training_paths
 
 
@@ -72,7 +72,17 @@ def _corpus(spark, sf_dir):
 
 
 def _totals(spark, sf_dir):
-    return corpus.provenance(merged(spark, sf_dir))
+    """Totals of the corpus, and the names of its sources."""
+    rows = written(merged(spark, sf_dir))
+    found = written(corpus.sources(rows))
+    names = found.agg(
+        *[
+            F.array_join(F.sort_array(F.collect_list(F.when(F.col("what") == what, F.col("name")))), ",").alias(f"{what}s")
+            for what in ("source_path", "source_kind")
+        ]
+    )
+    totals = corpus.provenance(rows, found).drop("source_paths", "source_kinds")
+    return totals.crossJoin(F.broadcast(names))  # one row on each side
 
 
 def _sources(spark, sf_dir):
@@ -156,9 +166,9 @@ SQL = {
              source_kinds FROM merged""",
     "corpus_provenance": f"""WITH {_MERGED}
       SELECT count(*) AS deduplicated_examples, CAST(sum(support) AS BIGINT) AS support_sum,
-             (SELECT count(DISTINCT p) FROM
+             (SELECT string_agg(DISTINCT p, ',' ORDER BY p) FROM
                (SELECT unnest(string_split(source_paths, ',')) AS p FROM merged)) AS source_paths,
-             (SELECT count(DISTINCT p) FROM
+             (SELECT string_agg(DISTINCT p, ',' ORDER BY p) FROM
                (SELECT unnest(string_split(source_kinds, ',')) AS p FROM merged)) AS source_kinds
       FROM merged""",
     "corpus_sources": f"""WITH {_MERGED}
