@@ -94,9 +94,8 @@ def _stream(spark, landed: str, part: int, store: PostStore) -> None:
 
 
 def _linked(store: PostStore) -> DataFrame:
-    return store.links().join(store.tweets(), "tweet_id", "left").select(
-        "run_id", "tweet_id", F.length("content").cast("bigint").alias("n_chars")
-    )
+    sizes = store.tweets().select("tweet_id", F.length("content").cast("bigint").alias("n_chars"))
+    return store.links().join(sizes, "tweet_id", "left").select("run_id", "tweet_id", "n_chars")
 
 
 def _two_streams(spark, sf_dir):

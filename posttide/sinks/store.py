@@ -15,6 +15,7 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,10 @@ from posttide.sinks import paths
 # Buckets of the posts of a new store; a store keeps the number it began with.
 BUCKETS = 64
 
+# About so many rows of a bucket are merged by one task, and written to one file.
+_PART_ROWS = 10_000
+_CODEC = "zstd"
+
 _BATCH = ["writer", "batch"]
 _ORDER = ["stored_at", "writer", "batch", "ordinal"]
 _CHANGES = T.StructType(
@@ -148,15 +153,16 @@ class PostStore:
             }
         )
         placed = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        placed.partitionBy(*_BATCH).parquet(self._changes_path())
+        placed.option("compression", _CODEC).partitionBy(*_BATCH).parquet(self._changes_path())
         path = f"{self._changes_path()}/writer={writer}/batch={batch}"
         return self.spark.read.schema(_CHANGES).parquet(path).count() if paths.exists(self.spark, path) else 0
 
     def compact(self) -> None:
         """Merge pending changes into the buckets they touch; other buckets' files stay.
 
-        Rows lie in the order of their time inside a bucket, so a filter on ``created_at`` skips
-        most of its row groups.
+        Rows move once, to the part of a bucket their key belongs to, and are merged and written
+        there. They lie in the order of their time inside a file, so a filter on ``created_at``
+        skips most of its row groups.
         """
         pending = self._pending()
         if pending is None:
@@ -169,12 +175,21 @@ class PostStore:
         rows = pending.join(lookup_side(batches), _BATCH, "left_semi")
         touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # at most ``buckets``
         base = self._posts({b: newest[b] for b in touched if b in newest})
-        merged = state.upsert(base, rows.withColumn("ordinal", F.struct(*_ORDER)))
-        ordered = merged.withColumn("bucket", bucket).repartitionByRange("bucket", "created_at")
+        parts = (rows.count() + base.count()) // (buckets * _PART_ROWS) + 1
+        part = F.pmod(F.hash("tweet_id"), F.lit(parts))
+        both = rows.withColumn("_new", F.lit(True)).unionByName(base, allowMissingColumns=True)
+        placed = both.withColumns({"bucket": bucket, "_part": part}).repartition("bucket", "_part")
+        newest_first = W.partitionBy("bucket", "_part", "tweet_id").orderBy(
+            F.desc_nulls_last("_new"), *[F.desc(c) for c in _ORDER]
+        )
+        # Stored rows without a key are nobody's older version.
+        kept = (F.col("_rank") == 1) | (F.col("_new").isNull() & F.col("tweet_id").isNull())
+        merged = placed.withColumn("_rank", F.row_number().over(newest_first)).filter(kept)
+        ordered = merged.select(*schemas.TWEETS.names, "bucket")
         fold = last + 1
-        ordered.sortWithinPartitions("bucket", "created_at").write.mode("overwrite").partitionBy(
-            "bucket"
-        ).parquet(self._posts_path(fold))
+        ordered.sortWithinPartitions("bucket", "created_at").write.mode("overwrite").option(
+            "compression", _CODEC
+        ).partitionBy("bucket").parquet(self._posts_path(fold))
         wrote = self.spark.createDataFrame([(fold, buckets, b, None, None) for b in touched], _FOLDS)
         took = batches.select(
             F.lit(fold).cast("long").alias("fold"), F.lit(buckets).alias("buckets"),
