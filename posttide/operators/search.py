@@ -152,9 +152,9 @@ def chosen_posts(
     return cap_rows(first, order, params.max_results).select(*posts.columns)
 
 
-# Up to this cap the rows fit one task, and a plain top-k is the cheapest plan. Beyond it the same
-# rows come from ranges; neither path promises an order of its output.
-_SMALL_CAP = 100_000
+# Up to this cap a plain top-k is the cheapest plan: one task gets so many rows of each other task.
+# Beyond it the same rows come from ranges; neither path promises an order of its output.
+_SMALL_CAP = 1_000
 
 
 def cap_rows(posts: DataFrame, order: list[str], max_results: int) -> DataFrame:
