@@ -148,7 +148,7 @@ def chosen_posts(
         if served == RECENT_SOURCE:
             found = found.filter(in_recent_window(F.col("created_at"), params, now))
     met = W.partitionBy("tweet_id").orderBy(*order)
-    first = found.withColumn("_rank", F.row_number().over(met)).filter(F.col("_rank") == 1)
+    first = found.withColumn("_rank", F.row_number().over(met)).filter(F.col("_rank") == 1).drop("_rank")
     return cap_rows(first, order, params.max_results).select(*posts.columns)
 
 
@@ -177,8 +177,8 @@ def cap_rows(posts: DataFrame, order: list[str], max_results: int) -> DataFrame:
         passed += row["count"]
     rank = F.row_number().over(W.partitionBy("_range").orderBy(*order))
     below = placed.filter(F.col("_range") < cut)
-    edge = placed.filter(F.col("_range") == cut).withColumn("_rank", rank)
-    edge = edge.filter(F.col("_rank") <= max_results - passed).drop("_rank")
+    edge = placed.filter(F.col("_range") == cut).withColumn("_in_range", rank)
+    edge = edge.filter(F.col("_in_range") <= max_results - passed).drop("_in_range")
     return below.unionByName(edge).drop("_range")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from posttide import schemas
 from posttide.operators import search
+from posttide.params import SearchParams
 from posttide.sinks.store import PostStore
 
 
@@ -28,6 +31,18 @@ def test_a_cap_of_the_largest_search_is_cut_by_ranges(spark):
         assert sorted((r["k"], r["id"]) for r in capped.collect()) == want
 
 
+def test_a_search_that_finds_more_than_its_large_cap_is_cut(spark):
+    days = F.expr("timestamp'2026-05-01 00:00:00'")
+    posts = spark.range(2500, numPartitions=4).select(
+        F.lit("p").alias("page_key"), F.col("id").alias("item_idx"), (F.col("id") % 2000).cast("string").alias("tweet_id"),
+        days.alias("created_at"), F.lit("on topic").alias("content"),
+    )
+    params = SearchParams("topic", (), max_results=1500)
+    chosen = search.chosen_posts(posts, params, "twscrape", datetime(2026, 5, 2, tzinfo=timezone.utc))
+    assert chosen.columns == posts.columns
+    assert sorted(r["item_idx"] for r in chosen.collect()) == list(range(1500))
+
+
 def _posts(spark, rows):
     made = spark.createDataFrame(rows, "tweet_id string, content string, ordinal long")
     given = set(made.columns)
