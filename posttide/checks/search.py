@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date, datetime, timezone
 
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ _NOW = datetime(2024, 1, 20, 12, 0, tzinfo=timezone.utc)
 _SEARCH = SearchParams("the", ("SRC3", "#EN"), date(2024, 1, 3), date(2024, 1, 25), 100)
 _TOPICS = SearchParams("The", ("#and", "on", "AND"), date(2024, 1, 2), date(2024, 1, 28), 300)
 
+# Characters of descriptions in one landed feed file, about.
+_FILE_CHARS = 2_000_000
+
 _POST_SQL = """p AS (
   SELECT CAST(doc_id AS VARCHAR) AS tweet_id,
          TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER)) AS created_at,
@@ -256,9 +260,14 @@ def _landed_feed(spark, sf_dir):
         F.lit("<item>"), *[tag(c, F.col(c)) for c in ("title", "link", "guid", "pubDate", "description")], source,
         F.lit("</item>"),
     )
-    grouped = _items(spark, sf_dir).groupBy((F.col("item_idx") % 10).alias("file"))
+    items = _items(spark, sf_dir)
+    # Files are of bounded size, and each is put together by one task: there are more of them, not larger ones.
+    n_files = max(10, math.ceil((items.agg(F.sum(F.length("description"))).first()[0] or 0) / _FILE_CHARS))
+    file = F.pmod(F.xxhash64("item_idx", "link"), F.lit(n_files)).cast("int")
+    placed = items.select(file.alias("file"), item.alias("item")).repartition(n_files, "file")
+    grouped = placed.groupBy("file")
     channel = F.concat(
-        F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")
+        F.lit("<rss><channel>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel></rss>")
     )
     # One line for a file: a feed's own line breaks are white space to the cleaning.
     files = grouped.agg(F.regexp_replace(channel, "[\\r\\n]", " ").alias("value"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from posttide import schemas
+from posttide.checks import search as check_search
 from posttide.operators import search
 from posttide.params import SearchParams
 from posttide.sinks.store import PostStore
@@ -43,6 +44,21 @@ def test_a_search_that_finds_more_than_its_large_cap_is_cut(spark):
     assert sorted(r["item_idx"] for r in chosen.collect()) == list(range(1500))
 
 
+def test_landed_feed_files_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    html = F.concat(F.lit("<title>t"), F.col("id"), F.lit("</title>"), F.repeat(F.lit("word "), F.lit(200)))
+    pages = spark.range(200).select(
+        F.when(F.col("id") > 0, F.col("id")).alias("page_id"),
+        F.concat(F.lit("https://h.org/"), F.col("id")).alias("url"), html.alias("html"),
+    )
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(check_search, "working_folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(check_search, "_FILE_CHARS", 10_000, raising=False)
+    found = check_search.QUERIES["landed_feed"](spark, str(tmp_path))
+    assert found.select("url").distinct().count() == 200
+    sizes = [f.stat().st_size for f in tmp_path.glob("feeds/*/part-*")]
+    assert len(sizes) > 15 and max(sizes) < 40_000
+
+
 def _posts(spark, rows):
     made = spark.createDataFrame(rows, "tweet_id string, content string, ordinal long")
     given = set(made.columns)
