@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posttide.llm.common import WORD
+from posttide.llm.common import WORD, stored
 from posttide.session import lookup_side
 
 # Buckets that words and word pairs are hashed to; the model is one number for each.
@@ -164,12 +164,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     fit, other = trusted_ids(labels)
     weights = _weights(docs, fit)
-    rows = measured(docs)
-    unseen = docs.select("doc_id", "text").join(lookup_side(other), "doc_id", "left_semi").select(
-        _hashes(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("__hashes")
-    )
+    score = F.when(F.col("n_words") > 0, _score(F.col("__hashes"), weights))
+    # Texts are scored once and stay where they are: only ids and scores meet the trusted rows.
+    rows = stored(measured(docs).withColumn("score", score).drop("__hashes"), "measured")
+    unseen = rows.select("doc_id", "score").join(lookup_side(other), "doc_id", "left_semi")
     # Rounded, so that the quantile counts a bounded number of different scores.
-    scores = unseen.select(F.round(_score(F.col("__hashes"), weights), 6).alias("s"))
+    scores = unseen.select(F.round("score", 6).alias("s"))
     level = scores.agg(
         F.percentile("s", F.lit(TURNED_AWAY)).alias("low"),
         (F.avg("s") - DEVIATIONS * F.coalesce(F.stddev_samp("s"), F.lit(0.0))).alias("far"),
@@ -179,9 +179,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
     good = F.lit(True) if threshold is None else F.col("score") >= F.lit(threshold)
-    return (
-        rows.withColumn("base_failed", failed)
-        .withColumn("score", F.when(F.col("n_words") > 0, _score(F.col("__hashes"), weights)))
-        .withColumn("kept", ~F.col("base_failed") & good)
-        .drop("__hashes")
-    )
+    scored = [c for c in rows.columns if c != "score"]
+    return rows.select(*scored, failed.alias("base_failed"), "score").withColumn("kept", ~F.col("base_failed") & good)
