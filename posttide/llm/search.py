@@ -38,6 +38,17 @@ def _matrix(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(data, np.int64).reshape(len(rows), width // 8)
 
 
+def _packed(data: np.ndarray) -> bytes:
+    """A matrix in the narrowest integers that hold it, under their width: it goes to many places."""
+    least, most = int(data.min(initial=0)), int(data.max(initial=0))
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max)
+    return bytes([kind().itemsize]) + data.astype(kind).tobytes()
+
+
+def _unpacked(packed: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(packed, f"i{packed[0]}", offset=1).reshape(rows, -1).astype(np.int64)
+
+
 def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     width = max(a.shape[1], b.shape[1])
     return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
@@ -139,7 +150,7 @@ def _grouped(rows: DataFrame, size: int) -> DataFrame:
                 "group": table.column("group")[:1],
                 "region": table.column("region")[:1],
                 "ids": pa.array([ids.tobytes()], pa.binary()),
-                "vecs": pa.array([data.tobytes()], pa.binary()),
+                "vecs": pa.array([_packed(data)], pa.binary()),
             }
         )
 
@@ -150,8 +161,7 @@ def _grouped(rows: DataFrame, size: int) -> DataFrame:
 def _searched(row: dict, k: int):
     """The ids of a query group, and what one document range holds for it."""
     query_ids, ids = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "ids"))
-    queries = np.frombuffer(row["q_vecs"], np.int64).reshape(len(query_ids), -1)
-    docs = np.frombuffer(row["vecs"], np.int64).reshape(len(ids), -1)
+    queries, docs = _unpacked(row["q_vecs"], len(query_ids)), _unpacked(row["vecs"], len(ids))
     floors = np.frombuffer(row["floors"], np.int64) if "floors" in row else np.full(len(query_ids), -_LONG)
     return query_ids, search_range(queries, query_ids, floors, docs, ids, k)
 
@@ -218,13 +228,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         "queries",
     )
     own = ranges.groupBy("region").agg(F.min("group").alias("group"))
-    first = groups.join(own, "region").drop("region").join(ranges.drop("region"), "group")
+    # Never broadcast: Spark takes either side for small, as it sees packed files before they are exploded.
+    docs = ranges.drop("region").hint("merge")
+    first = groups.join(own, "region").drop("region").join(docs, "group")
     with batches_of(spark, 8):  # a row holds a whole group and a whole range
         floored = stored(_with_floors(first, k), "floors")
     last = ranges.agg(F.max("group")).first()[0]
     everywhere = floored.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(last))))
     with batches_of(spark, 8):
-        found = stored(_found(everywhere.join(ranges.drop("region"), "group"), k), "found")
+        found = stored(_found(everywhere.join(docs, "group"), k), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -210,6 +210,18 @@ def test_search_matches_brute_force(spark, monkeypatch):
     assert [tuple(r) for r in search.top_k(few, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 1, 64 * 128)]
 
 
+def test_search_pairs_never_pass_through_the_driver(spark, monkeypatch):
+    rows = [(i, [(i % 7) / 7, (i % 11) / 11]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plans, plain = {}, search.stored
+    monkeypatch.setattr(
+        search, "stored", lambda df, name: (plans.update({name: df._jdf.queryExecution().toString()}), plain(df, name))[1]
+    )
+    found = search.top_k(vectors, F.col("vec_id") % 20 == 0, 5).collect()
+    assert {tuple(r) for r in found} == _best(rows, 5)
+    assert "BroadcastHashJoin" not in plans["found"] and "SortMergeJoin" in plans["found"]
+
+
 @pytest.mark.parametrize("size", [1e8, 1e18])
 def test_large_scores_stay_whole(spark, size):
     rows = [(0, [size, 1.0]), (1, [1.0, 3.0]), (2, [-1.0, 3.0])]
