@@ -91,7 +91,7 @@ def analyze(posts: DataFrame, scorer: Scorer, key: str = "ordinal") -> DataFrame
     )
     empty = F.col("cleaned_text") == ""
     return (
-        cleaned.join(scored, key)
+        cleaned.join(scored.hint("shuffle_hash"), key)  # scores are short, so posts need no sort
         .withColumns(
             {
                 "tokens": t.tokenize(F.col("cleaned_text")),

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from posttide import schemas
 from posttide.operators.series import check_granularity, fill_gaps, label_counts, rolling_average
 from posttide.plans.scorers import Scorer, analyze
+from posttide.session import bucketed_while
 from posttide.sinks.store import PostStore, writer_name
 from posttide.sources.posts import posts_from_scraped
 
@@ -35,10 +36,11 @@ def ingest_stream(
     writer = writer_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("ordinal", F.monotonically_increasing_id()).persist()
-        store.upsert_tweets(analyze(numbered, scorer), writer, batch_id)
-        store.link_tweets(run_id, numbered.select("tweet_id"))
-        numbered.unpersist()
+        # Numbered once and written, so that scores come to the posts and posts need not move.
+        numbered = batch.withColumn("ordinal", F.monotonically_increasing_id())
+        with bucketed_while(numbered, "ordinal") as posts:
+            store.upsert_tweets(analyze(posts, scorer), writer, batch_id)
+            store.link_tweets(run_id, posts.select("tweet_id"))
 
     return (
         posts.writeStream.foreachBatch(write)

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pandas as pd
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from posttide import schemas
 from posttide.checks import search as check_search
 from posttide.operators import search
+from posttide.operators.lexicon import seed_lexicon
 from posttide.params import SearchParams
+from posttide.plans.scorers import lexicon_scorer
+from posttide.session import shared_dir
 from posttide.sinks.store import PostStore
+from posttide.streaming import streams
 
 
 def test_python_gets_texts_in_small_batches(spark):
@@ -86,3 +93,39 @@ def test_compaction_merges_where_rows_are_placed_once(spark, tmp_path):
     assert got == [("None", "1"), ("None", "2"), ("a", "3"), ("b", "1"), ("c", "1")]
     files = list(tmp_path.glob("posts/*/*/*.parquet"))
     assert files and all(".zstd." in f.name for f in files)
+
+
+def test_a_batch_that_fails_leaves_nothing_behind(spark, tmp_path):
+    class Dying(PostStore):
+        def link_tweets(self, run_id, tweet_ids):
+            raise OSError("the driver's host is gone")
+
+    def held():
+        return set(spark.sparkContext._jsc.sc().getPersistentRDDs().keys().mkString(" ").split())
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"id": "a", "date": "2026-05-06T01:10:00Z", "rawContent": "good"}')
+    before, tables = held(), {t.name for t in spark.catalog.listTables()}
+    folders = set(Path(shared_dir(spark)).glob("bucketed-*"))
+    store = Dying(spark, str(tmp_path / "store"))
+    query = streams.ingest_stream(
+        streams.scraped_stream(spark, str(tmp_path / "in")), store, lexicon_scorer(seed_lexicon(spark)), 1, str(tmp_path / "cp")
+    )
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination()
+    assert store.tweets().count() == 1
+    assert held() <= before and {t.name for t in spark.catalog.listTables()} <= tables
+    assert set(Path(shared_dir(spark)).glob("bucketed-*")) <= folders
+
+
+def test_compaction_keeps_tokens_of_any_kind(spark, tmp_path):
+    kinds = [None, [], [""], ["", ""], ["a b"], [None, "x"], ["a", "b", ""], [" "]]
+    rows = [(str(i), tokens, i) for i, tokens in enumerate(kinds)]
+    made = spark.createDataFrame(rows, "tweet_id string, tokens array<string>, ordinal long")
+    rest = [f for f in schemas.TWEETS.fields if f.name not in made.columns]
+    posts = made.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])
+    store = PostStore(spark, str(tmp_path), buckets=2)
+    store.upsert_tweets(posts, "one")
+    store.compact()
+    store.vacuum()
+    assert {r["tweet_id"]: r["tokens"] for r in store.tweets().collect()} == {i: t for i, t, _ in rows}
