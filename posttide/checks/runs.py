@@ -106,6 +106,7 @@ def _two_streams(spark, sf_dir):
         scraped.filter(F.col("part") == part).select("value").write.text(f"{landed}/{part}")
         _stream(spark, landed, part, store)
         store.compact()
+        store.vacuum()
     return _linked(store)
 
 
@@ -129,9 +130,11 @@ def _crash(spark, sf_dir):
         with contextlib.suppress(StreamingQueryException):
             _stream(spark, landed, part, dying(spark, root))
     store.compact()
+    store.vacuum()
     for part in (1, 0):
         _stream(spark, landed, part, store)
         store.compact()
+        store.vacuum()
     return _linked(store)
 
 
